@@ -2,10 +2,10 @@
 
 import random
 import zlib
-from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,8 +49,19 @@ def test_count_tokens_edges(spark):
 def test_chunkwise_ids_equal_the_library():
     library = Tokenizer.from_file(WORDS)
     texts = odd_texts(400, 2)
-    for t, ids in zip(texts, packing.encode_texts(texts, WORDS), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    for many in (texts, texts[:0], [""], ["", "a"]):
+        ids, bounds = packing.encode_texts(pa.array(many, pa.large_string()), WORDS)
+        assert len(bounds) == len(many) + 1
+        for t, lo, hi in zip(many, bounds[:-1], bounds[1:], strict=True):
+            assert np.frombuffer(ids[lo:hi], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_batches_equal_the_library():
+    counter, library = PrefixCounter(BYTES), Tokenizer.from_file(BYTES)
+    texts = odd_texts(3000, 9) + ["plain words here\nand\nthere", "It's 'll we'", "a\nb c", "x" * 3000, "word"]
+    for many in (texts, [], ["a b"], ["  "]):
+        want = [len(library.encode(t, add_special_tokens=False).ids) for t in many]
+        assert counter.count_batch(pa.array(many, pa.large_string())).tolist() == want
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -118,7 +129,3 @@ def test_shard_documents(spark):
     assert out.groupby(["size", "text_crc32"]).shard.nunique().max() == 1
     assert sorted(out.text_crc32) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
     assert sharding.shard_documents(table(spark, []), 5).collect() == []
-
-
-def test_pairs_of_pieces_are_ordered():
-    assert all(a <= b for a, b in pairwise(sorted(packing.split_chunks("a b\nc"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,5 +117,31 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+class Generations:
+    """A worker's bounded memory of computed values: two dictionaries, the older dropped when the newer is full.
+
+    What is asked for again moves to the newer one, so frequent keys stay. Forgetting costs time only.
+    """
+
+    def __init__(self, compute: Callable[[list], list], limit: int = 500_000):
+        self.compute, self.limit, self.new, self.old = compute, limit, {}, {}
+
+    def many(self, keys: list) -> list:
+        new, old = self.new, self.old
+        missing = []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    missing.append(k)
+        if missing:
+            new.update(zip(missing, self.compute(missing), strict=True))
+        found = [new[k] for k in keys]
+        if len(new) > self.limit:
+            self.new, self.old = {}, new
+        return found
+
+
 def long_schema(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])

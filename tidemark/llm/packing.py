@@ -10,19 +10,20 @@ falling length. Pieces, ranked within their class over salts, then take the patt
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialize, salted_rank, small_batches
-
-CACHE = 400_000
+from tidemark.llm.common import Generations, materialize, salted_rank, small_batches
 
 
 def price(duals: np.ndarray, units: int) -> tuple[float, np.ndarray]:
@@ -107,57 +108,48 @@ def plan_sequences(counts: np.ndarray, units: int) -> list[tuple[np.ndarray, int
     return plan
 
 
-class WordEncoder(dict):
-    """Ids of white-space-free chunks as little-endian bytes; the library encodes each chunk once a cache."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.library = Tokenizer.from_file(path)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-        new = list({w for words in texts for w in words if w not in self})
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+@lru_cache(maxsize=2)
+def chunk_ids(path: str) -> Generations:
+    """Ids of white-space-free chunks as little-endian bytes; the library encodes each chunk once."""
+    from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(path)
 
-@lru_cache(maxsize=2)
-def encoder_for(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    def encode(chunks: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    return Generations(encode)
 
-def split_chunks(text: str) -> list[str]:
-    """This vocabulary drops white space and no token crosses it, so chunks can be encoded apart."""
-    return [x for x in text.replace("\n", " ").split(" ") if x]
 
+def encode_texts(texts: pa.Array, vocabulary: str) -> tuple[memoryview, np.ndarray]:
+    """All ids of the texts in one buffer, and each text's bounds in it, in bytes.
 
-def encode_texts(texts: list[str], vocabulary: str) -> list[bytes]:
-    encoder = encoder_for(vocabulary)
-    chunks = [split_chunks(t) for t in texts]
-    encoder.learn(chunks)
-    return [b"".join(map(encoder.__getitem__, words)) for words in chunks]
+    This vocabulary drops white space and no token crosses it, so the chunks between can be encoded apart.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    known = pa.array(chunk_ids(vocabulary).many(coded.dictionary.to_pylist()), pa.large_binary())
+    joined = known.take(coded.indices)
+    ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, joined.offset * 8) if len(joined) else np.zeros(1, np.int64)
+    return memoryview(joined.buffers()[2] or b""), ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
             rows: list[tuple] = []
-            ids_of = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 200):
-                for doc_id, ids in zip(ids_of[at : at + 200], encode_texts(texts[at : at + 200], vocabulary), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
+            ids, bounds = encode_texts(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), vocabulary)
+            for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                n = (hi - lo) // 4 + 1
+                for start in range(0, n, capacity):
+                    length = min(capacity, n - start)
+                    crc = zlib.crc32(ids[lo + 4 * start : min(hi, lo + 4 * (start + length))])
+                    rows.append((doc_id, start, length, zlib.crc32(end, crc) if start + length == n else crc, n))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],

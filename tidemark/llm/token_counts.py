@@ -15,18 +15,19 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import Generations, small_batches
 
 #: Fixed value: the pre-token pattern of this family of byte-level vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries kept by a worker's cache of pieces; a full cache is emptied, which costs time only.
-CACHE = 600_000
-_segments = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_odd_space = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: Texts that are counted whole: doubled, leading or trailing white space, other white space or controls, special strings.
+HARD = r"[ \n]{2}|^[ \n]|[ \n]$|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|<\|"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,58 +44,76 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
-        self.vocab = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        self.ranks: dict[tuple[bytes, bytes], int] = {}
-        for k, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.ranks[bytes(letters[c] for c in a), bytes(letters[c] for c in b)] = k
-        self.longest = max(map(len, self.vocab))
+        as_bytes = lambda t: bytes(letters[c] for c in t)
+        self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
+        self.ranks: dict[tuple[int, int], int] = {}
+        #: of each merged token: the rank of its merge and its two parts
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for rank, m in enumerate(spec["model"]["merges"]):
+            a, b = map(as_bytes, m if isinstance(m, list) else m.split(" "))
+            left, right = self.ids[a], self.ids[b]
+            self.ranks[left, right] = rank
+            self.made.setdefault(self.ids[a + b], (rank, left, right))
+        self._ends = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self._ends.add_word(token.decode("latin-1"), (i, len(token)))
+        self._ends.make_automaton()
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self._special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self._pretoken = regex.compile(PRETOKEN)
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._pieces: dict[str, list[int]] = {}
-        self._totals: dict[str, int] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging; only for the few bytes of a token pair."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        """Whether right may follow left; an empty left asks whether merging alone reaches right."""
-        known = self._pairs.get((left, right))
+        self._pairs: dict[int, bool] = {}
+        self._spines: tuple[dict, dict] = ({}, {})
+        self._chunks = Generations(lambda chunks: [self._chunk_count(c) for c in chunks])
+
+    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens along a token's left (1) or right (2) edge, each with the rank of the merge that uses it up."""
+        known = self._spines[side - 1].get(token)
+        if known is None:
+            known, at, used = [], token, float("inf")
+            while True:
+                known.append((at, used))
+                if at not in self.made:
+                    break
+                used, at = self.made[at][0], self.made[at][side]
+            self._spines[side - 1][token] = known
+        return known
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether right may follow left: no merge across their seam comes before both are complete.
+
+        Two edge tokens meet while neither is used up; their own merge must then not be the next one.
+        At equal ranks the merge further left goes first.
+        """
+        key = left << 32 | right
+        known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 4 * CACHE:
+            if len(self._pairs) > 2_000_000:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            ranks = self.ranks
+            known = self._pairs[key] = not any(
+                (rank := ranks.get((a, b))) is not None and rank < used_a and rank <= used_b
+                for a, used_a in self._spine(left, 2)
+                for b, used_b in self._spine(right, 1)
+            )
         return known
 
     def table(self, piece: str) -> list[int]:
         """Token counts of all byte prefixes of a pre-token; entry 0 is 0."""
-        known = self._pieces.get(piece)
-        if known is not None:
-            return known
-        data, vocab = piece.encode("utf-8", "surrogatepass"), self.vocab
-        counts, last = [0], [b""]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in vocab and self.compatible(last[start], token):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("a byte is missing from the vocabulary")
-        if len(data) <= 64:
-            if len(self._pieces) > CACHE // 4:
-                self._pieces.clear()
-            self._pieces[piece] = counts
+        data = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        counts, last = [0] * (len(data) + 1), [-1] * (len(data) + 1)
+        compatible, pairs = self.compatible, self._pairs
+        for end, (token, length) in self._ends.iter(data):  # at each end the longest token first
+            end += 1
+            if last[end] < 0:
+                start = end - length
+                if start:
+                    ok = pairs.get(last[start] << 32 | token)
+                    if ok is None:
+                        ok = compatible(last[start], token)
+                else:
+                    ok = True
+                if ok:
+                    last[end], counts[end] = token, counts[start] + 1
         return counts
 
     def count(self, text: str) -> int:
@@ -105,18 +124,31 @@ class PrefixCounter:
         return sum(map(self._count_plain, parts)) + len(parts) - 1
 
     def _count_plain(self, text: str) -> int:
-        if _odd_space.search(text):
-            return sum(self.table(p)[-1] for p in self._pretoken.findall(text))
-        totals, out = self._totals, 0
-        for segment in _segments.findall(text):
-            n = totals.get(segment)
-            if n is None:
-                n = sum(self.table(p)[-1] for p in self._pretoken.findall(segment))
-                if len(segment) <= 64:
-                    if len(totals) > CACHE:
-                        totals.clear()
-                    totals[segment] = n
-            out += n
+        return sum(self.table(p)[-1] for p in self._pretoken.findall(text))
+
+    def _chunk_count(self, chunk: str) -> int:
+        """Of a chunk that follows a space, or that begins with the line feed it follows."""
+        if chunk[:1] == "\n":
+            return self._count_plain("\n") + self._count_plain(chunk[1:])
+        return self._count_plain(" " + chunk)
+
+    def count_batch(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text. No pre-token crosses a single space or line feed between two visible
+        characters, so such texts are counted chunk by chunk, each different chunk once; others go whole."""
+        hard = pc.match_substring_regex(texts, HARD).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(hard):
+            out[i] = self.count(texts[int(i)].as_py())
+        easy = np.flatnonzero(~hard)
+        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(easy)), "\n", " \n"), " ")
+        if not len(easy):
+            return out
+        starts = lists.offsets.to_numpy()[:-1]
+        coded = lists.flatten().dictionary_encode()
+        counts = np.array(self._chunks.many(coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
+        firsts = [self._count_plain(c) for c in coded.take(pa.array(starts)).dictionary_decode().to_pylist()]
+        counts[starts] = firsts
+        out[easy] = np.add.reduceat(counts, starts)
         return out
 
     def index(self, text: str) -> PrefixIndex:
@@ -197,14 +229,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens = [counter.count(t) for t in texts]
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            tokens = counter.count_batch(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+                    pc.binary_length(texts).cast(pa.int64()),
                     pa.array(tokens, pa.int64()),
-                    pa.array([n > limit for n in tokens], pa.bool_()),
+                    pa.array(tokens > limit, pa.bool_()),
                 ],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
