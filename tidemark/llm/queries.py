@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import read
+from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.token_counts import count_tokens
@@ -15,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
@@ -23,5 +28,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op7_near_dedup, op9_token_counts, op10_sharding)}
 ORACLES: dict[str, str] = {}
