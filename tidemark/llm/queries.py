@@ -9,6 +9,7 @@ from tidemark.llm.common import read
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import shard_documents
+from tidemark.llm.substring_dedup import dedup_report
 from tidemark.llm.token_counts import count_tokens
 
 
@@ -16,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(read(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -28,5 +33,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_near_dedup, op9_token_counts, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_substring_dedup, op7_near_dedup, op9_token_counts, op10_sharding)}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (
+  select doc_id, w, unnest(range(1, len(w) - 48)) as p from docs where len(w) >= 50),
+windows as (
+  select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as h from starts),
+firsts as (
+  select h, min(doc_id) as d from windows group by h),
+late as (
+  select windows.doc_id, windows.p from windows join firsts using (h) where d < windows.doc_id),
+gone as (
+  select distinct doc_id, unnest(range(p, p + 50)) as i from late),
+removed as (
+  select doc_id, list(i) as g, count(*) as n from gone group by doc_id),
+left_words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from docs join removed using (doc_id)),
+kept as (
+  select l.doc_id, string_agg(word, ' ' order by l.i) as k
+  from left_words l left join gone on gone.doc_id = l.doc_id and gone.i = l.i where gone.i is null group by l.doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(case when n is null then array_to_string(w, ' ') else coalesce(k, '') end) as kept_sha256
+from docs left join removed using (doc_id) left join kept using (doc_id)
+"""
+}
