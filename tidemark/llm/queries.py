@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.chunk_fingerprints import fingerprint_report
 from tidemark.llm.common import read
+from tidemark.llm.decontamination import find_leaks
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import score_quality
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.substring_dedup import dedup_report
 from tidemark.llm.token_counts import count_tokens
+from tidemark.llm.toxicity import score_toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +25,26 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
@@ -33,7 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_substring_dedup, op7_near_dedup, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op3_substring_dedup, op4_fingerprints, op5_toxicity, op6_decontamination, op7_near_dedup, op8_quality,
+    op9_token_counts, op10_sharding,
+)}
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": r"""
 with docs as (
