@@ -39,7 +39,7 @@ def grams(code: np.ndarray, q: int) -> np.ndarray:
     n = len(code) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, width, power, done = None, 1, BASE, 0
+    out, width, power, done = None, 1, np.array([BASE]), 0
     step = code.astype(np.uint64) * MIX
     while True:
         if q >> width.bit_length() - 1 & 1:

@@ -148,7 +148,7 @@ def fit(texts: list[str], good: np.ndarray, steps: int = 150, l2: float = 1e-3)
     """With labels of one kind, or none, every text scores that kind's share (0.5 for none)."""
     share = float(good.mean()) if len(good) else 0.5
     width = 3 * OWN + 1
-    if not 0 < share < 1:
+    if not len(good) or not 0 < share < 1:
         p = min(max(share, 1e-3), 1 - 1e-3)
         return QualityModel(np.zeros(width), np.zeros((2, 2)), 0.0, float(np.log(p / (1 - p))))
     column = pa.array(texts, pa.large_string())

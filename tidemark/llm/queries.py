@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.chunk_fingerprints import fingerprint_report
 from tidemark.llm.common import read
 from tidemark.llm.decontamination import find_leaks
+from tidemark.llm.html_text import extract_pages
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
@@ -21,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_substring_dedup, op4_fingerprints, op5_toxicity, op6_decontamination, op7_near_dedup, op8_quality,
+    op1_packing, op2_html_text, op3_substring_dedup, op4_fingerprints, op5_toxicity, op6_decontamination, op7_near_dedup, op8_quality,
     op9_token_counts, op10_sharding,
 )}
 ORACLES: dict[str, str] = {

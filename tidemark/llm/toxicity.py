@@ -3,7 +3,7 @@
 The confirmed toxic rows and a sample of unlabelled texts train a linear classifier with the class-prior
 corrected risk: prior * E+[loss(g)] + max(0, E_u[loss(-g)] - prior * E+[loss(-g)]). Where the second part
 falls below zero its gradient is reversed, so the classifier cannot fit the unlabelled texts away. Features are
-words and word beginnings; a text's margin is the sum of its words' weights over the root of its length. A
+words and word beginnings; a text's margin is the sum of its different words' weights over a root of their number. A
 two-parameter logistic fit on labelled rows turns margins into scores.
 """
 
@@ -24,7 +24,8 @@ from tidemark.llm.common import Generations, small_batches
 from tidemark.llm.labelled import SAMPLE_ROWS, held_out, logistic, sample_ids, sample_texts, sigmoid
 
 BEGINNINGS = (3, 4, 5, 6)
-FEATURES = 1500
+FEATURES = 600
+LENGTH_POWER = 0.25
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
@@ -33,17 +34,17 @@ def word_features(word: str) -> list[str]:
     return [bare + "$", *(bare[:k] for k in BEGINNINGS if len(bare) >= k)] if bare else []
 
 
-def pu_gradient(x_pos: np.ndarray, x_all: np.ndarray, w: np.ndarray, prior: float, floor: float = 0.0) -> tuple[float, np.ndarray]:
-    """Non-negative risk (sigmoid loss) of weights w, and the gradient to follow."""
-    sp, su = sigmoid(x_pos @ w), sigmoid(x_all @ w)
-    dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-    positive = prior * (1 - sp).mean()
-    negative = su.mean() - prior * sp.mean()
-    grad_positive = -prior * (x_pos.T @ dp)
-    grad_negative = x_all.T @ du - prior * (x_pos.T @ dp)
-    if negative < -floor:
-        return positive, -grad_negative
-    return positive + negative, grad_positive + grad_negative
+def pu_gradient(x_pos: np.ndarray, x_all: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """Non-negative risk (logistic loss) of weights w, and the gradient to follow."""
+    g_pos, g_all = x_pos @ w, x_all @ w
+    s_pos, s_all = sigmoid(g_pos) / len(g_pos), sigmoid(g_all) / len(g_all)
+    positive = prior * np.logaddexp(0, -g_pos).mean()
+    negative = np.logaddexp(0, g_all).mean() - prior * np.logaddexp(0, g_pos).mean()
+    to_positive = -prior * (x_pos.T @ (1 / len(g_pos) - s_pos))
+    to_negative = x_all.T @ s_all - prior * (x_pos.T @ s_pos)
+    if negative < 0:
+        return positive, -to_negative
+    return positive + negative, to_positive + to_negative
 
 
 @dataclass
@@ -59,12 +60,14 @@ class ToxicModel:
 
 
 def margins(words: pa.Array, bounds: np.ndarray, weigh) -> np.ndarray:
-    """Per text: its words' weights over the root of their number; 0 without words."""
+    """Per text: the weights of its different words over a power of their number; 0 without words."""
     coded = words.dictionary_encode()
-    weights = np.array(weigh(coded.dictionary.to_pylist()), float)
-    sums = np.r_[0.0, np.cumsum(weights[coded.indices.to_numpy()] if len(weights) else np.zeros(len(words)))]
-    n = np.diff(bounds)
-    return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(n, 1))
+    size = max(1, len(coded.dictionary))
+    weights = np.array(weigh(coded.dictionary.to_pylist()) or [0.0], float)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pairs = np.unique(text * size + coded.indices.to_numpy().astype(np.int64))
+    n = np.bincount(pairs // size, minlength=len(bounds) - 1)
+    return np.bincount(pairs // size, weights[pairs % size], minlength=len(bounds) - 1) / np.maximum(n, 1) ** LENGTH_POWER
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -75,12 +78,12 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def matrix(texts: list[str], index: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(texts), len(index) + 1))
     for i, t in enumerate(texts):
-        words = t.split()
-        for w, n in Counter(words).items():
+        words = set(t.split())
+        for w in words:
             for f in word_features(w):
                 if (k := index.get(f)) is not None:
-                    x[i, k] += n
-        x[i, :-1] /= math.sqrt(max(1, len(words)))
+                    x[i, k] += 1
+        x[i, :-1] /= max(1, len(words)) ** LENGTH_POWER
     x[:, -1] = 1
     return x
 
