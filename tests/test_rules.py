@@ -1,0 +1,83 @@
+"""Rules, alerts, cooldown, values as text, durations."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions.durations import parse_duration
+from tidemark.functions.values import number_text, python_text
+from tidemark.operators.rules import Condition, Rule, alerts, fires, parse_literal, with_cooldown
+
+CASES = [
+    ("temperature > 80", {"temperature": 85.0}, True), ("temperature > 80", {"temperature": 80.0}, False), ("temperature > 80", {"temperature": 75.0}, False),
+    ("temperature >= 80", {"temperature": 80.0}, True), ("temperature < 80", {"temperature": 75.0}, True), ("temperature <= 80", {"temperature": 80.0}, True),
+    ("temperature == 80", {"temperature": 80.0}, True), ("temperature != 80", {"temperature": 85.0}, True), ("count > 10", {"count": 15}, True),
+    ('status == "error"', {"status": "error"}, True), ('status == "error"', {"status": "ok"}, False), ("status != 'error'", {"status": "ok"}, True),
+    ('message contains "ERROR"', {"message": "ERROR: something failed"}, True), ('message contains "ERROR"', {"message": "error: something failed"}, False),
+    ('message contains "ERROR"', {"message": "all good"}, False), ("missing != 1", {"status": "ok"}, False), ("missing == 1", {}, False),
+    ("temperature > 80 AND humidity < 30", {"temperature": 85.0, "humidity": 25.0}, True), ("temperature > 80 AND humidity < 30", {"temperature": 75.0, "humidity": 25.0}, False),
+    ("temperature > 80 AND humidity < 30", {"temperature": 85.0, "humidity": 35.0}, False), ("temperature > 80 AND humidity < 30", {"temperature": 75.0, "humidity": 35.0}, False),
+    ('status == "error" OR status == "critical"', {"status": "critical"}, True), ('status == "error" OR status == "critical"', {"status": "ok"}, False),
+    ('count == "15"', {"count": 15}, True), ('message == "a AND b"', {"message": "a AND b"}, True),
+]
+TYPES = "temperature double, humidity double, status string, message string, count long"
+
+
+@pytest.mark.parametrize("json_path", [False, True])
+def test_conditions(spark, json_path):
+    names = ["temperature", "humidity", "status", "message", "count"]
+    rows = [(k, json.dumps(r), *[r.get(n) for n in names]) for k, (_, r, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, f"k int, payload string, {TYPES}").withColumn("record", F.try_parse_json("payload"))
+    met = F.lit(None).cast("boolean")
+    for k, (text, _, _) in enumerate(CASES):
+        condition = Condition.parse(text)
+        met = F.when(F.col("k") == k, condition.on_json(F.col("record")) if json_path else condition.typed(df)).otherwise(met)
+    got = {r.k: r.met for r in df.select("k", met.alias("met")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(CASES)}
+
+
+def test_json_values_keep_their_kind(spark):
+    cases = [('{"a":"20"}', "a > 3", False), ('{"a":"20"}', 'a == "20"', True), ('{"a":true}', "a == true", True), ('{"a":true}', "a == 1", False), ('{"a":null}', 'a == "<nil>"', True),
+             ('{"a":80.0}', 'a == "80"', True), ('{"a":1e21}', 'a == "1e+21"', True), ('{"b.c":5}', "b.c >= 5", True), ("no json", "a != 1", False)]
+    for payload, text, want in cases:
+        df = spark.createDataFrame([(payload,)], "p string").withColumn("r", F.try_parse_json("p"))
+        assert df.select(Condition.parse(text).on_json(F.col("r"))).first()[0] is want, (payload, text)
+
+
+def test_parsing():
+    assert [parse_literal(t) for t in ("80", "80.5", '"hello"', "true", "FALSE", "-10", "bare")] == [80.0, 80.5, "hello", True, False, -10.0, "bare"]
+    assert str(Condition.parse("a > 80 AND b == 'x'")) == 'a > 80 AND b == "x"'
+    for bad in ("", "temperature 80", "a > 1 AND b > 2 OR c > 3", "a >"):
+        with pytest.raises(ValueError):
+            Condition.parse(bad)
+
+
+def test_cooldown(spark):
+    assert [t for t, f in zip((1, 2, 7, 8, 13), fires((1, 2, 7, 8, 13), 5), strict=True) if f] == [1, 7, 13]
+    rng = random.Random(4)
+    rows = sorted((t, 1.0) for t in rng.sample(range(1, 2000), 300))
+    df = spark.createDataFrame(rows, "ts_ns long, v double")
+    rules = [Rule("slow", "v > 0", 17), Rule("none", "v > 0", 0), Rule("never", "v > 5", 3)]
+    got = with_cooldown(alerts(df, rules, F.lit("d"))).collect()
+    for rule in rules[:2]:
+        want = [t for (t, _), f in zip(rows, fires([t for t, _ in rows], rule.cooldown_ns), strict=True) if f]
+        assert sorted(r.ts_ns for r in got if r.rule_name == rule.name) == want
+    assert not [r for r in got if r.rule_name == "never"]
+
+
+def test_numbers_as_text(spark):
+    known = {80.0: "80", 80.5: "80.5", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-5: "1e-05", 0.0001: "0.0001", 0.0: "0", -2.25: "-2.25", 12345678.9: "12345678.9", 1.5e300: "1.5e+300", 0.00025: "0.00025"}
+    df = spark.createDataFrame([(k,) for k in known], "x double")
+    assert {r.x: r.t for r in df.select("x", number_text(F.col("x")).alias("t")).collect()} == known
+    assert {k: python_text(k) for k in known} == known and python_text(True) == "true" and python_text("s") == "s"
+
+
+def test_durations():
+    h = 3600 * 10**9
+    known = {"1.5d": 36 * h, "1w": 168 * h, "1h30m": h + h // 2, "-1h": -h, "0": 0, "250ms": 250 * 10**6, "1.5us": 1500, "1h1m1.5s": h + 61_500_000_000, ".5s": 5 * 10**8, "2µs": 2000}
+    assert {k: parse_duration(k) for k in known} == known
+    for bad in ("", "1d12h", "5", "h", "1x", "1h 2m", "w"):
+        with pytest.raises(ValueError):
+            parse_duration(bad)

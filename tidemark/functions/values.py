@@ -21,7 +21,7 @@ def number_text(x: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(short, r"^(.*)E", 1), r"\.0$", "")
     exponent = F.regexp_extract(short, r"E(-?\d+)$", 1).cast("int")
     sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    scientific = F.concat(mantissa, sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    scientific = F.concat(mantissa, sign, F.format_string("%02d", F.abs(exponent)))
     whole = x.cast("decimal(38,0)").cast("string")
     size = F.abs(x)
     return (
