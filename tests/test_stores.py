@@ -47,6 +47,11 @@ def test_life_of_a_store(spark, engine):
     store.reset()
     store.put({"x": 2}, 500)
     assert [r.ts_ns for r in store.records().collect()] == [500]
+    store.insert("{}", 400)
+    for payload, key in (("{}", 400), ("{}", 0), ("x" * 4073, 900)):
+        with pytest.raises(ValueError):
+            store.insert(payload, key)
+    store.delete(400)
     engine.create(Config("b", kind="text"))
     assert engine.names() == ["a", "b"] and {r.store: r.records for r in engine.status().collect()} == {"a": 1, "b": 0}
     engine.close()

@@ -122,6 +122,16 @@ class Store:
         self.append(self.spark.createDataFrame([(at, value)], f"ts_ns long, payload {self.payload_type}"))
         return at
 
+    def insert(self, payload: str | bytes, ts_ns: int | None = None) -> int:
+        """The older way to add one record: it must fit a block of its own, and its key may be any that is free."""
+        at = scans.now() if ts_ns is None else ts_ns
+        if len(payload.encode() if isinstance(payload, str) else payload) > self.config.block_size - BLOCK_HEADER:
+            raise ValueError("the record does not fit a block")
+        if at <= 0 or self.at(at).limit(1).count():
+            raise ValueError("a key must be positive and free")
+        self.spark.createDataFrame([(at, payload)], f"ts_ns long, payload {self.payload_type}").write.mode("append").parquet(f"{self.path}/records")
+        return at
+
     def at(self, ts_ns: int) -> DataFrame:
         return scans.at_time(self.records(), ts_ns)
 
