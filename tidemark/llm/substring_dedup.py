@@ -146,7 +146,24 @@ def window_rows(ids: np.ndarray, bounds: np.ndarray, width: int, rounds: int) ->
     s0, s1 = (np.where(lone, p0, low[symbol]), np.where(lone, p0 + width, high[symbol])) if len(name) else (p0, p0 + width)
     core = spans.hash(s0, s1) ^ (np.where(lone, np.uint64(1), name[symbol]) if len(name) else np.uint64(1))
     whole = spans.hash(p0, np.where(lone, p0, p1) + width)
-    return {"text": t[a], "p0": p0, "p1": p1, "core": core, "whole": whole, "spans": spans}
+    return {"text": t[a], "p0": p0, "p1": p1, "core": core, "whole": whole, "lone": lone, "spans": spans}
+
+
+def merge_lone(r: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Rows of windows without an anchor that are alike and overlap, as in a repeated line, become one row.
+
+    It reaches from the first such window to the last; those between that are not alike have rows of their own.
+    All words it covers are covered by windows that are alike.
+    """
+    at = np.flatnonzero(r["lone"])
+    if len(at) < 2:
+        return r
+    at = at[np.lexsort((r["p0"][at], r["whole"][at], r["text"][at]))]
+    same = (r["whole"][at[1:]] == r["whole"][at[:-1]]) & (r["text"][at[1:]] == r["text"][at[:-1]])
+    starts = np.flatnonzero(np.r_[True, ~(same & (r["p0"][at[1:]] - r["p1"][at[:-1]] <= width))])
+    keep = np.r_[np.flatnonzero(~r["lone"]), at[starts]]
+    last = np.r_[r["p1"][~r["lone"]], r["p1"][at[np.r_[starts[1:], len(at)] - 1]]]
+    return {k: v[keep] for k, v in r.items() if k not in ("p1", "spans")} | {"p1": last, "spans": r["spans"]}
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +240,7 @@ def repeated_spans(docs: DataFrame, width: int, rounds: int) -> DataFrame:
         for batch in batches:
             doc_id = batch.column("doc_id").to_numpy()
             for which, ids, bounds in sliced(batch.column("text").cast(pa.large_string()), width):
-                r = window_rows(ids, bounds, width, rounds)
+                r = merge_lone(window_rows(ids, bounds, width, rounds), width)
                 columns = [r["core"].view(np.int64), r["whole"].view(np.int64), doc_id[which[r["text"]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "whole", "doc_id"])
 
@@ -247,10 +264,10 @@ def repeated_spans(docs: DataFrame, width: int, rounds: int) -> DataFrame:
         for batch in batches:
             doc_id, row_key = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
             for which, ids, bounds in sliced(batch.column("text").cast(pa.large_string()), width):
-                r = window_rows(ids, bounds, width, rounds)
+                r = merge_lone(window_rows(ids, bounds, width, rounds), width)
                 hit = np.flatnonzero(inside(shared_bits, r["core"]))
                 core, text, p0, p1 = (r[c][hit] for c in ("core", "text", "p0", "p1"))
-                counts = np.where(inside(contested_bits, core), p1 - p0 + 1, 0)
+                counts = np.where(inside(contested_bits, core) & ~r["lone"][hit], p1 - p0 + 1, 0)
                 ends = np.cumsum(counts)
                 at = np.repeat(p0 - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
                 windows = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(r["spans"].hash(at, at + width).view(np.int64)))
