@@ -21,7 +21,7 @@ from tidemark.llm.common import small_batches
 
 SEED, Q = 10, 6
 #: Characters of items that one pass over the documents carries along; more items take more passes.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 2_000_000
 BASE, MIX = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
