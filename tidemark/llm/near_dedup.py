@@ -170,29 +170,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     by_fp = known.join(groups, "root").select("fp", "component_id")
     named = fps.join(by_fp, "fp")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents with the smallest doc_id of each component, with all their columns.
-
-    Of rows that share this doc_id the text whose hash is smallest stays; rows that repeat both id and text are
-    one document. A null id stays only where its component has no other.
-    """
-    spark = docs.sparkSession
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py() or "", words) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
-
-    fps = materialize(
-        marked.withColumn("row_key", F.xxhash64("text")).select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, fp long"),
-        "document-fingerprints",
-    )
-    roots = fingerprint_components(fps, radius)
-    least = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
-    stay = least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.doc_id").alias("__d"), F.col("s.row_key").alias("__k"))
-    first = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_semi")
-    return first
