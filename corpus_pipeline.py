@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.alike_texts import keep_first_alike
 from tidemark.llm.common import materialize, read
 from tidemark.llm.decontamination import drop_leaks
-from tidemark.llm.near_dedup import keep_first
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import keep_good
 from tidemark.llm.substring_dedup import dedup_texts
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return keep_first(docs)
+    """One document of each group of near copies: SimHash candidates of five-word similarity 0.8 or more."""
+    return keep_first_alike(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
