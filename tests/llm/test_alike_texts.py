@@ -72,14 +72,15 @@ def test_sketches_estimate_similarity():
     assert at.sketch(np.zeros(0, np.uint64)) == bytes(32)
 
 
-def test_roots_hold_against_brute_force(spark):
+def test_roots_hold_against_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     values, sketches, v, s = values_and_sketches(rng, 150, 4)
     rows = [(i, int(f), bytes(memoryview(x))) for i, (f, x) in enumerate(zip(v.view(np.int64), s, strict=True))]
     outlines = spark.createDataFrame(rows, "node long, fp long, sketch binary")
     want = brute_components(range(150), lambda a, b: (values[a] ^ values[b]).bit_count() <= 8 and (sketches[a] ^ sketches[b]).bit_count() <= 10)
     groups = {frozenset(k for k in want if want[k] == c) for c in set(want.values())}
-    for heavy in (3, at.HEAVY):
+    for heavy, keys in ((3, at.BROADCAST_KEYS), (3, 0), (at.HEAVY, at.BROADCAST_KEYS)):
+        monkeypatch.setattr(at, "BROADCAST_KEYS", keys)
         got = {}
         for r in at.alike_roots(outlines, 8, 8, 10, heavy=heavy).collect():
             got.setdefault(r.root, set()).add(r.node)

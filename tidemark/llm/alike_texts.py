@@ -30,6 +30,8 @@ SKETCH_BITS = 256
 #: Texts of similarity 0.8 differ in 25.6 of 256 bits, give or take 4.8.
 SKETCH_SLACK = 6
 LEAF, QUERIES, HEAVY = 512, 64, 20_000
+#: Keys of crowded shards (8 bytes each) are sent to all tasks up to this count.
+BROADCAST_KEYS = 500_000
 _random = np.random.default_rng(20)
 _FLIPS = _random.integers(0, 1 << 32, SKETCH_BITS, dtype=np.uint32)[:, None]
 _FACTORS = (_random.integers(0, 1 << 31, SKETCH_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -201,7 +203,9 @@ def alike_roots(outlines: DataFrame, radius: int, sure: int, limit: int, agree:
     choice = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask")
     dealt = different.select("*", choice).select("node", "fp", "sketch", "t", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     counts = different.select("fp", choice).groupBy(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")).count()
-    crowded = counts.where(F.col("count") > heavy).select("key")
+    crowded = materialize(counts.where(F.col("count") > heavy).select("key"), "crowded-shards")
+    if crowded.count() <= BROADCAST_KEYS:  # else both joins shuffle
+        crowded = F.broadcast(crowded)
     light = dealt.join(crowded, "key", "left_anti").select("key", "node", "fp", "sketch")
     again = F.posexplode(F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in finer]), F.col("t") + 1)).alias("s", "mask")
     cut = dealt.join(crowded, "key", "left_semi").select("key", "node", "fp", "sketch", again)
