@@ -142,7 +142,7 @@ def chunk_ids(path: str) -> Generations:
             out += [data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
         return out
 
-    words, others = Generations(together), Generations(alone)
+    words, others = Generations(together, 150_000), Generations(alone, 150_000)
 
     def encode(chunks: list[str]) -> list[bytes]:
         cut = [m if (m := _simple.fullmatch(c)) and m[1].isalpha() and "\u0130" not in c else None for c in chunks]
@@ -152,7 +152,7 @@ def chunk_ids(path: str) -> Generations:
         rest_ids[""] = b""
         return [head_ids[m[1].lower()] + rest_ids[m[2]] if m else rest_ids[c] for m, c in zip(cut, chunks, strict=True)]
 
-    return Generations(encode, 250_000)
+    return Generations(encode, 100_000)
 
 
 def encode_texts(texts: pa.Array, vocabulary: str) -> tuple[memoryview, np.ndarray]:
