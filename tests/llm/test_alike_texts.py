@@ -109,3 +109,25 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept.count(500) == 2 and kept.count(None) == 1
     assert at.keep_first_alike(docs.limit(0)).collect() == []
     assert at.keep_first_alike(docs.where(F.col("doc_id") == 5)).count() == 1
+
+
+def passage_copies(rng, n, words, least, most):
+    """(id, text) of texts, and under id + 1000 a copy with one passage appended, cut off or inserted: similarity least to most."""
+    rows = []
+    for i in range(n):
+        w = [f"w{rng.randrange(3000)}" for _ in range(words)]
+        s = rng.uniform(least, most)
+        new = [f"n{rng.randrange(10**6)}" for _ in range(int((words - 4) * (1 / s - 1)))]
+        mid = rng.randrange(10, words - 10)
+        cut, longer = w[: words - int((words - 4) * (1 - s))], new[: len(new) - 4]
+        copy = [w + new, cut, w[:mid] + longer[4:] + w[mid:]][i % 3]
+        assert least <= exact(" ".join(w), " ".join(copy)) < most + 0.03
+        rows += [(i, " ".join(w)), (i + 1000, " ".join(copy))]
+    return rows
+
+
+def test_copies_with_another_passage_are_candidates(spark, monkeypatch):
+    monkeypatch.setattr(at, "SKETCH_SLACK", 25)
+    rows = passage_copies(random.Random(11), 150, 300, 0.8, 0.85)
+    kept = at.keep_first_alike(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(150))
