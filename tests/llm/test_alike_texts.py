@@ -131,3 +131,29 @@ def test_copies_with_another_passage_are_candidates(spark, monkeypatch):
     rows = passage_copies(random.Random(11), 150, 300, 0.8, 0.85)
     kept = at.keep_first_alike(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == list(range(150))
+
+
+def test_links_are_exactly_those_of_the_similarity(spark, monkeypatch):
+    """Chains of texts a little above or below 0.8, in whole groups and in blocks."""
+    rng = random.Random(12)
+    texts = [w for _ in range(12) for w in [[f"w{rng.randrange(3000)}" for _ in range(200)]]]
+    for w in list(texts):
+        for _ in range(9):
+            k = rng.randrange(18, 60)  # 196 shingles: k new words at the end leave similarity (196 - k) / (196 + k)
+            w = w[: 200 - k // 2] + [f"n{rng.randrange(10**6)}" for _ in range(k // 2)]
+            texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    rng.shuffle(texts)
+    want = brute_components(range(len(texts)), lambda a, b: exact(texts[a], texts[b]) >= 0.8)
+    assert 20 < len(set(want.values())) < 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (at.BLOCK, 4):
+        monkeypatch.setattr(at, "BLOCK", block)
+        assert sorted(r.doc_id for r in at.keep_first_alike(docs).collect()) == sorted(set(want.values()))
+
+
+def test_exact_similarity_at_the_limit():
+    a, sketches = np.arange(100, dtype=np.uint64), np.zeros((2, 4), np.uint64)
+    for size, links in ((80, [(0, 1)]), (79, [])):
+        assert at.exact_links([a, a[:size]], sketches, 0.8, 50) == links
+    assert at.exact_links([a, a[:0]], sketches, 0.8, 50) == [] == at.exact_links([a, a + np.uint64(100)], sketches, 0.8, 50)

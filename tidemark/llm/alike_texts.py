@@ -1,4 +1,4 @@
-"""SimHash near-duplicates of a wide radius, each link confirmed on five-word shingles.
+"""SimHash near-duplicates of a wide radius, each link confirmed exactly on five-word shingles.
 
 SimHash of five-word shingles spreads texts of similarity 0.8 over some ten bits, too far for shards of
 agreeing bits. Two-word shingles change less by scattered edits: such texts differ in six bits, give or take 2.4,
@@ -6,9 +6,11 @@ unrelated ones rarely in under fifteen. So candidates are found by the fingerpri
 two-word shingles. Blocks make sure of links within eight bits (`sure`); texts up to twelve bits apart
 (`radius`) still agree on two of the ten blocks nine times in ten. An appended, inserted or cut-off passage
 changes two-word shingles as much as five-word ones and moves the fingerprint farther. So texts are candidates
-too where a band of minima of their five-word shingles agrees, which depends on similarity alone. A link needs a like resemblance of its different five-word shingles: 256 one-bit minima, of which a
-fraction (1 - similarity) / 2 differ on average. The sketch travels with the fingerprint, so a link is
-confirmed where it is found and only confirmed links join components.
+too where a band of minima of their five-word shingles agrees, which depends on similarity alone. 
+A sketch of the five-word shingles, 256 one-bit minima of which a fraction (1 - similarity) / 2 differ on
+average, travels with the fingerprint and drops candidates far from alike where they are found. What is left
+proposes groups. In each the texts meet again, and only pairs whose different five-word shingles really have the
+similarity link. A group is larger than what its links join, so no link is missed for one that failed.
 
 A shard's BK-tree is cut by integer Hamming distance to pivots down to leaves that are compared as arrays.
 Queries go down in blocks, along edges within the radius. A leaf that lies in one component drops the
@@ -31,8 +33,10 @@ from tidemark.llm.near_dedup import block_masks
 SKETCH_BITS = 256
 #: Texts of similarity 0.8 agree in none of 24 bands of 4 minima once in 300,000 pairs, wherever their edits lie.
 BANDS, BAND = 24, 4
-#: Texts of similarity 0.8 differ in 25.6 of 256 bits, give or take 4.8.
-SKETCH_SLACK = 6
+#: Texts of similarity 0.8 differ in 25.6 of 256 bits, give or take 4.8: over five times that is allowed.
+SKETCH_SLACK = 25
+#: A group of more texts is compared block against block, each pair of blocks in a task of its own.
+BLOCK = 1000
 LEAF, QUERIES, HEAVY = 512, 64, 20_000
 #: Keys of crowded shards (8 bytes each) are sent to all tasks up to this count.
 BROADCAST_KEYS = 500_000
@@ -95,16 +99,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def outline(text: str, find_width: int, like_width: int) -> tuple[int, bytes, list[int]]:
-    """The text's fingerprint, sketch and band keys."""
+def outline(text: str, find_width: int, like_width: int) -> tuple[int, int, bytes, list[int]]:
+    """The hash of the text's different shingles, their sketch and band keys, and between them its fingerprint."""
     words = words_of(text)
     like = shingle_hashes(words, like_width)
     least = minima(like)
-    return simhash(shingle_hashes(words, find_width)), sketch_bits(least) if len(like) else sketch(like), band_keys(least)
+    node = xxhash.xxh64_intdigest(like.tobytes(), 42)
+    return node, simhash(shingle_hashes(words, find_width)), sketch_bits(least) if len(like) else sketch(like), band_keys(least)
 
 
 def sketch_limit(similarity: float) -> int:
-    """How many bits of two sketches may differ."""
+    """How many bits of two sketches may differ for their texts to be compared."""
     return int(SKETCH_BITS * (1 - similarity) / 2) + SKETCH_SLACK
 
 
@@ -246,6 +251,66 @@ def alike_roots(outlines: DataFrame, radius: int, sure: int, limit: int, agree:
     return different.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def exact_links(sets: list[np.ndarray], sketches: np.ndarray, similarity: float, limit: int) -> list[tuple[int, int]]:
+    """Links (positions) that span the components of these sets of hashes under Jaccard similarity."""
+    boss, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    links: list[tuple[int, int]] = []
+    for b in range(1, len(sets)):
+        off = bits_apart(sketches[:b], sketches[b]).sum(axis=1)
+        fits = np.minimum(sizes[:b], sizes[b]) >= similarity * np.maximum(sizes[:b], sizes[b])
+        near = np.flatnonzero((off <= limit) & fits)
+        for a in near[np.argsort(off[near], kind="stable")].tolist():
+            if boss[a] == boss[b]:
+                continue
+            both = sizes[a] + sizes[b]
+            shared = both - len(np.union1d(sets[a], sets[b]))
+            if shared and shared / (both - shared) >= similarity:
+                boss[: b + 1][boss[: b + 1] == boss[a]] = boss[b]
+                links.append((a, b))
+    return links
+
+
+def confirmed_roots(docs: DataFrame, outlines: DataFrame, proposed: DataFrame, similarity: float, like_width: int, limit: int) -> DataFrame:
+    """(node, root) as `proposed` has, with groups joined by links of exact similarity only.
+
+    docs has text and the columns doc_id and row_key of outlines; rows that share both are one text.
+    """
+    sizes = proposed.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "sketch")).alias("own")
+    members = outlines.groupBy("node").agg(own).join(proposed, "node").join(sizes, "root").select("root", "node", "size", "own.*")
+    # Block x of y meets every block, itself among them.
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    at = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    at = at.withColumn("key", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")))
+    texts = docs.withColumnRenamed("doc_id", "__d").withColumnRenamed("row_key", "__k")
+    member = members.select(F.col("doc_id").alias("__m"), F.col("row_key").alias("__r"), F.col("node").alias("__n"))
+    texts = texts.join(member, F.col("__d").eqNullSafe(F.col("__m")) & (F.col("__k") == F.col("__r"))).select(F.col("__n").alias("node"), "text")
+    rows = at.select("key", "node", "sketch").join(texts, "node")
+
+    def links_of(group: dict[int, tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+        nodes = np.fromiter(group, np.int64, len(group))
+        sketches = np.frombuffer(b"".join(sk for sk, _ in group.values()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        links = np.array(exact_links([x for _, x in group.values()], sketches, similarity, limit), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[links[:, 0]]), pa.array(nodes[links[:, 1]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, {}
+        for batch in batches:
+            for k, node, sk, text in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch", "text")), strict=True):
+                if k != key:
+                    if len(group) > 1:
+                        yield links_of(group)
+                    key, group = k, {}
+                if node not in group:
+                    group[node] = (sk, shingle_hashes(words_of(text or ""), like_width))
+        if len(group) > 1:
+            yield links_of(group)
+
+    links = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+    found = connected_components(links).withColumnRenamed("component", "root")
+    return proposed.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def keep_first_alike(docs: DataFrame, similarity: float = 0.8, find_width: int = 2, like_width: int = 5, radius: int = 12, sure: int = 8) -> DataFrame:
     """The documents with the smallest doc_id of each group of like texts, with all their columns.
 
@@ -258,15 +323,17 @@ def keep_first_alike(docs: DataFrame, similarity: float = 0.8, find_width: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [outline(t.as_py() or "", find_width, like_width) for t in batch.column("text")]
-            fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(fps), pa.array([m[1] for m in made], pa.binary())]
-            columns.append(pa.array([m[2] for m in made], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "fp", "sketch", "bands"])
+            nodes, fps = (np.array([m[k] for m in made], np.uint64).view(np.int64) for k in (0, 1))
+            columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes), pa.array(fps), pa.array([m[2] for m in made], pa.binary())]
+            columns.append(pa.array([m[3] for m in made], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", "fp", "sketch", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    made = rows.mapInArrow(run, "doc_id long, row_key long, fp long, sketch binary, bands array<long>")
-    outlines = materialize(made.withColumn("node", F.xxhash64("fp", "sketch")), "document-outlines")
-    roots = alike_roots(outlines, radius, sure, sketch_limit(similarity))
+    made = rows.mapInArrow(run, "doc_id long, row_key long, node long, fp long, sketch binary, bands array<long>")
+    outlines = materialize(made, "document-outlines")
+    limit = sketch_limit(similarity)
+    proposed = materialize(alike_roots(outlines, radius, sure, limit), "proposed-groups")
+    roots = confirmed_roots(rows, outlines, proposed, similarity, like_width, limit)
     least = outlines.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
     stay = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.doc_id").alias("__d"), F.col("s.row_key").alias("__k"))
     return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_semi")
