@@ -157,3 +157,15 @@ def test_exact_similarity_at_the_limit():
     for size, links in ((80, [(0, 1)]), (79, [])):
         assert at.exact_links([a, a[:size]], sketches, 0.8, 50) == links
     assert at.exact_links([a, a[:0]], sketches, 0.8, 50) == [] == at.exact_links([a, a + np.uint64(100)], sketches, 0.8, 50)
+
+
+def test_cut_shards_hold_the_links_of_uncut_ones(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(400):
+        v = rng.getrandbits(64)
+        for k, x in enumerate((v, v ^ sum(1 << b for b in rng.sample(range(64), 9 + i % 4)))):
+            rows.append((2 * i + k, x - (1 << 64) if x >> 63 else x, bytes(32)))
+    outlines = spark.createDataFrame(rows, "node long, fp long, sketch binary")
+    roots = lambda heavy: sorted(at.alike_roots(outlines, 12, 8, 0, heavy=heavy).collect())
+    assert roots(0) == roots(at.HEAVY)

@@ -226,12 +226,13 @@ def alike_roots(outlines: DataFrame, radius: int, sure: int, limit: int, agree:
     """(node, root) for every different outline of columns node, fp, sketch: links reach all that share a root.
 
     No link within `sure` bits is lost; of those up to `radius` bits, the ones whose fingerprints meet in a shard.
+    Crowded shards are cut by radius + 1 runs of their other bits, so whatever met in one still meets.
     With a column `bands`, outlines that share a band key are linked by their sketches alone, however far apart
     their fingerprints are.
     """
     banded = "bands" in outlines.columns
     masks = block_masks(list(range(64)), sure + agree, agree)
-    finer = [block_masks([b for b in range(64) if not m >> b & 1], sure + 1, 1) for m in masks]
+    finer = [block_masks([b for b in range(64) if not m >> b & 1], radius + 1, 1) for m in masks]
     firsts = [F.first(c).alias(c) for c in ("fp", "sketch", *(["bands"] if banded else []))]
     different = materialize(outlines.groupBy("node").agg(*firsts), "outlines")
     choice = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask")
