@@ -31,6 +31,11 @@ def test_main_text(article, want):
     assert html_text.main_text(PAGE.replace("{article}", article)) == want
 
 
+@pytest.mark.parametrize("broken", ["<![foo bar]>", "<![ x]>", "<![ endif]>"])
+def test_text_after_a_broken_declaration(broken):
+    assert html_text.main_text(f"<p>a</p>{broken}<p>b</p>") == "a\nb"
+
+
 def test_extract_pages_edges(spark):
     rows = [(1, "u", None), (None, None, "<p>x"), (2, "v", ""), (2, "v", ""), (3, "w", "<article>" + "<p>a b</p>" * 5000), (4, "x", "plain <![if bad"), (5, "y", "<div" * 50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")

@@ -54,6 +54,13 @@ class Lines(HTMLParser):
         self.linked = self.tags = self.links = self.containers = 0
         self.places = (False, 0)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration with a name the parser gives up on ends at its bracket."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i + 3) + 1 or -1
+
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
