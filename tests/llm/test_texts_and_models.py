@@ -36,6 +36,20 @@ def test_text_after_a_broken_declaration(broken):
     assert html_text.main_text(f"<p>a</p>{broken}<p>b</p>") == "a\nb"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="has-sidebar"><article><p>Its text.</p></article></div>',
+        '<main class="no-sidebar"><p>Its text.</p></main>',
+        '<article class="post category-social"><p>Its text.</p></article>',
+        '<div class="sidebar"><main class="social"><p>Its text.</p></main></div><div class="related"><article><p>Other</p></article></div>',
+        '<article><p>Its text.</p></article><div class="comments"><article class="comment"><p>Other</p></article></div>',
+    ],
+)
+def test_layout_words_do_not_leave_out_the_article(page):
+    assert html_text.main_text(page) == "Its text."
+
+
 def test_extract_pages_edges(spark):
     rows = [(1, "u", None), (None, None, "<p>x"), (2, "v", ""), (2, "v", ""), (3, "w", "<article>" + "<p>a b</p>" * 5000), (4, "x", "plain <![if bad"), (5, "y", "<div" * 50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")

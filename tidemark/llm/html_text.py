@@ -39,7 +39,8 @@ LEFT_OUT_WORDS = set(
     " sidebar side aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login"
     " share sharing social related recommended recommendations comment comments respond reply replies discussion disqus pagination pager widget widgets copyright legal disclaimer skip search form".split()
 )
-KEPT_WORDS = set("article content main post story entry body text page".split())
+#: Parts of a class name that say nothing of its element's role.
+NEUTRAL_WORDS = set("area bar block box container inner item items link links list outer section slot unit wrap wrapper".split())
 _words = re.compile(r"[a-z]+")
 
 
@@ -53,6 +54,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.linked = self.tags = self.links = self.containers = 0
         self.places = (False, 0)
+        self.marked = False
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A declaration with a name the parser gives up on ends at its bracket."""
@@ -79,13 +81,20 @@ class Lines(HTMLParser):
             self.close_implied(tag)
         found = dict(attrs)
         _, out, article, container = self.open[-1]
-        if tag in ("article", "main") and not self.comment_like(found):
+        first = tag == "main" or tag == "article" and not self.marked
+        named = self.comment_like(found)
+        if first and not self.hidden(found) and (tag == "main" or not (named and out)):  # class words do not leave out the page's own article
+            named = False
+        if tag in ("article", "main") and not named:
             while len(self.open) > 1 and self.open[-1][0] in ("nav", "header", "p", "ul", "li", "a", "b"):  # never closed
                 self.open.pop()
             _, out, article, container = self.open[-1]
+            if first and out and all(x[0] not in LEFT_OUT for x in self.open):
+                out = False
             article = article or not out
+            self.marked = self.marked or article
         if not out:
-            out = tag in LEFT_OUT or tag != "body" and tag != "html" and self.comment_like(found)
+            out = tag in LEFT_OUT or tag != "body" and tag != "html" and named
             if tag == "header" and article and not self.comment_like(found):
                 out = True
         if tag in CONTAINERS:
@@ -96,17 +105,23 @@ class Lines(HTMLParser):
         self.open.append((tag, out, article, container))
 
     @staticmethod
-    def comment_like(attrs: dict) -> bool:
-        """Whether role, visibility, class or id say that this is not main text."""
-        if not attrs:
-            return False
+    def hidden(attrs: dict) -> bool:
+        """Whether role or visibility say that this is not main text."""
         role = (attrs.get("role") or "").lower()
         if role in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return True
-        if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
+        return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+    @classmethod
+    def comment_like(cls, attrs: dict) -> bool:
+        """Whether role, visibility, class or id say that this is not main text; a name counts by all its parts."""
+        if not attrs:
+            return False
+        if cls.hidden(attrs):
             return True
-        words = set(_words.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-        return bool(words & LEFT_OUT_WORDS) and not (role in ("main", "article") or attrs.get("itemprop") == "articleBody")
+        role = (attrs.get("role") or "").lower()
+        names = [set(_words.findall(x)) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
+        return any(x & LEFT_OUT_WORDS and x <= LEFT_OUT_WORDS | NEUTRAL_WORDS for x in names) and not (role in ("main", "article") or attrs.get("itemprop") == "articleBody")
 
     def close_implied(self, tag: str) -> None:
         """An open paragraph ends where the next begins; so does a list item of the same list."""
