@@ -50,6 +50,11 @@ def test_layout_words_do_not_leave_out_the_article(page):
     assert html_text.main_text(page) == "Its text."
 
 
+def test_links_within_an_article_stay():
+    page = "<article><p>Its text.</p><section><a href=x>A source of it</a></section><table><tr><td><a href=y>cell</a></table><div>See <a href=z>this long link</a></div></article>"
+    assert html_text.main_text(page) == "Its text.\nA source of it\ncell\nSee this long link"
+
+
 def test_extract_pages_edges(spark):
     rows = [(1, "u", None), (None, None, "<p>x"), (2, "v", ""), (2, "v", ""), (3, "w", "<article>" + "<p>a b</p>" * 5000), (4, "x", "plain <![if bad"), (5, "y", "<div" * 50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")

@@ -198,7 +198,7 @@ def content_lines(lines: list[tuple[str, int, int, bool, float]]) -> list[str]:
         best[0] = max(best[0], r)
         best[1] += len(x[0])
         best[2] += len(x[0]) * x[4]
-    kept = {c for c, (r, n, linked) in size.items() if (r >= cut or marked) and (linked <= 0.5 * n)}
+    kept = {c for c, (r, n, linked) in size.items() if marked or r >= cut and linked <= 0.5 * n}
     if not kept:
         kept = set(size)
     return [x[0] for x in lines if x[2] in kept]
