@@ -246,6 +246,14 @@ def scan_json_valid(spark, sf_dir):
     return scans.json_only(scans.first_rows(rows, 150)).select("ts_ns", "doc_id")
 
 
+@query("""
+select doc_id from (select doc_id, case when doc_id % 3 = 0 then text else '{"id": ' || doc_id || '}' end as payload from documents)
+where doc_id % 3 <> 0 or try_cast(payload as json) is not null""")
+def scan_json_valid_all(spark, sf_dir):
+    payload = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit('{"id": '), "doc_id", F.lit("}")))
+    return scans.json_only(documents(spark, sf_dir).select("doc_id", payload.alias("payload"))).select("doc_id")
+
+
 @query("select doc_id, lang from documents where contains(text, 'tion')")
 def filter_text(spark, sf_dir):
     return scans.contains_text(documents(spark, sf_dir), "tion", column="text").select("doc_id", "lang")
@@ -489,6 +497,16 @@ def render_with_data(spark, sf_dir):
     return output.response(scans.oldest(rows), True)
 
 
+@query("select epoch_ns(ts) as timestamp, octet_length(encode(props))::bigint as size from events")
+def render_all_without_data(spark, sf_dir):
+    return output.response(events(spark, sf_dir).select("ts", "ts_ns", F.col("props").alias("payload")), False)
+
+
+@query("select epoch_ns(ts) as timestamp, octet_length(encode(props))::bigint as size, props as data from events")
+def render_all_with_data(spark, sf_dir):
+    return output.response(events(spark, sf_dir).select("ts", "ts_ns", F.col("props").alias("payload")), True)
+
+
 @query("""with a as (select 'high' as rule_name, epoch_ns(ts) as t, event_id from events where value > 300)
 select '{"type":"alert","timestamp":' || t || ',"alert":{"rule_name":"high","condition":"value > 300","timestamp":' || t || ',"data":"' || event_id || '","store_name":"events"}}' as message from a""")
 def render_alert(spark, sf_dir):
