@@ -1,11 +1,14 @@
 """Main text of web pages.
 
 The standard library's streaming parser turns a page into lines, one for each block of text, with the tags seen
-on the way. What stands in menus, headers, footers, asides, forms, scripts, notices, adverts or reader comments,
-by element, role or the words of class and id, is left out. Of the rest each line has a text-to-tag ratio; the
-ratios along the page are smoothed with a Gaussian and split into two clusters by a threshold. A region, the
-lines of one container, is content if it holds a line of the upper cluster; where the page marks its article,
-regions outside are no candidates. Regions stay whole, so short paragraphs between long ones are kept.
+on the way. Each line has a text-to-tag ratio, in which what the markup says counts as text or tags that are not
+there: a line in a menu, header, footer, aside, form, notice, advert or reader comment, by element, role or the
+words of class and id, counts as many tags more as the page has characters; where the page marks its article, so
+does a line outside of it, and a line inside counts as many characters more. The logarithms of the ratios are
+smoothed with a Gaussian along the lines of either kind and split into two clusters by a threshold, with the line
+of as many tags as characters as one more value. A region is content if it holds a line of the upper cluster; a
+marked article is one region, so its short, linked or tag-heavy passages stay. Pages that mark no article have a
+region for each container, and what is left of them is split once more by the plain ratio and the share of links.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from tidemark.llm.common import small_batches
 SIGMA = 1.5
 #: Fixed lists of HTML element names, by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = set(
-    "head title script style noscript template nav header footer aside form button select textarea option label iframe svg canvas object audio video map dialog menu".split()
-)
+#: No text that a reader sees, whatever its place.
+SILENT = set("head title script style noscript template select textarea option iframe svg canvas object audio video map".split())
+LEFT_OUT = set("nav header footer aside form button dialog menu".split())
 BLOCKS = set(
     "address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("article body div main section td".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby s samp small span strike strong sub sup time tt u var".split())
 LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
@@ -39,20 +43,23 @@ LEFT_OUT_WORDS = set(
     " sidebar side aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login"
     " share sharing social related recommended recommendations comment comments respond reply replies discussion disqus pagination pager widget widgets copyright legal disclaimer skip search form".split()
 )
+#: Words that name a layout; a heading or paragraph of that name is still part of the text.
+LAYOUT_WORDS = set("banner nav navbar navigation side sidebar aside footer header masthead topbar toolbar skip search form widget".split())
 #: Parts of a class name that say nothing of its element's role.
 NEUTRAL_WORDS = set("area bar block box container inner item items link links list outer section slot unit wrap wrapper".split())
 _words = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, container, in article, link share) for every block of text that is not left out."""
+    """Collects (text, tags, container, in article, link share, left out) for every block of text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, float]] = []
+        self.lines: list[tuple[str, int, int, bool, float, bool]] = []
         self.open: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, left out, in article, container
         self.parts: list[str] = []
-        self.linked = self.tags = self.links = self.containers = 0
+        self.others: list[str] = []  # what is left out of the same block
+        self.linked = self.tags = self.links = self.silent = self.containers = 0
         self.places = (False, 0)
         self.marked = False
 
@@ -64,44 +71,47 @@ class Lines(HTMLParser):
             return self.rawdata.find(">", i + 3) + 1 or -1
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            article, container = self.places
-            self.lines.append((text, self.tags, container, article, min(1.0, self.linked / len(text))))
-            self.tags = 0
-        self.parts, self.linked = [], 0
+        article, container = self.places
+        for parts, out in ((self.parts, False), (self.others, True)):
+            text = " ".join("".join(parts).split())
+            if text:
+                self.lines.append((text, self.tags, container, article, 0.0 if out else min(1.0, self.linked / len(text)), out))
+                self.tags = 0
+        self.parts, self.others, self.linked = [], [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag in BLOCKS or tag in LEFT_OUT:
+        inline = tag == "button" and any(x[0] == "p" for x in self.open[-6:])  # a word of a sentence
+        if tag in BLOCKS or tag in LEFT_OUT and not inline:
             self.end_line()
         if tag in VOID:
             return
+        if self.silent and (tag == "body" or tag in BLOCKS and tag != "html") and any(x[0] == "head" for x in self.open):  # never closed
+            self.closed(next(k for k, x in enumerate(self.open) if x[0] == "head"))
         if tag == "p" or tag == "li":
             self.close_implied(tag)
         found = dict(attrs)
         _, out, article, container = self.open[-1]
         first = tag == "main" or tag == "article" and not self.marked
-        named = self.comment_like(found)
+        named = self.named_out(tag, found)
         if first and not self.hidden(found) and (tag == "main" or not (named and out)):  # class words do not leave out the page's own article
             named = False
         if tag in ("article", "main") and not named:
             while len(self.open) > 1 and self.open[-1][0] in ("nav", "header", "p", "ul", "li", "a", "b"):  # never closed
-                self.open.pop()
+                self.closed(len(self.open) - 1)
             _, out, article, container = self.open[-1]
             if first and out and all(x[0] not in LEFT_OUT for x in self.open):
                 out = False
             article = article or not out
             self.marked = self.marked or article
-        if not out:
-            out = tag in LEFT_OUT or tag != "body" and tag != "html" and named
-            if tag == "header" and article and not self.comment_like(found):
-                out = True
+        out = out or tag in LEFT_OUT and not inline or tag not in ("body", "html") and named
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
         if tag == "a":
             self.links += 1
+        if tag in SILENT:
+            self.silent += 1
         self.open.append((tag, out, article, container))
 
     @staticmethod
@@ -113,26 +123,36 @@ class Lines(HTMLParser):
         return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
     @classmethod
-    def comment_like(cls, attrs: dict) -> bool:
+    def named_out(cls, tag: str, attrs: dict) -> bool:
         """Whether role, visibility, class or id say that this is not main text; a name counts by all its parts."""
         if not attrs:
             return False
         if cls.hidden(attrs):
             return True
         role = (attrs.get("role") or "").lower()
+        if tag in HEADINGS or role in ("main", "article") or attrs.get("itemprop") == "articleBody":
+            return False
+        telling = LEFT_OUT_WORDS - LAYOUT_WORDS if tag == "p" or tag in INLINE else LEFT_OUT_WORDS
         names = [set(_words.findall(x)) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
-        return any(x & LEFT_OUT_WORDS and x <= LEFT_OUT_WORDS | NEUTRAL_WORDS for x in names) and not (role in ("main", "article") or attrs.get("itemprop") == "articleBody")
+        return any(x & telling and x <= telling | NEUTRAL_WORDS for x in names)
 
     def close_implied(self, tag: str) -> None:
         """An open paragraph ends where the next begins; so does a list item of the same list."""
         for k in range(len(self.open) - 1, 0, -1):
             at = self.open[k][0]
             if at == tag:
-                del self.open[k:]
+                self.closed(k)
                 return
             if at not in INLINE and at != "p":
                 return
 
+    def closed(self, k: int) -> None:
+        """Forget the open elements from the k-th on."""
+        for x in self.open[k:]:
+            self.links -= x[0] == "a"
+            self.silent -= x[0] in SILENT
+        del self.open[k:]
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
@@ -140,23 +160,28 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCKS or tag in LEFT_OUT:
+        if tag in BLOCKS or tag in LEFT_OUT and not (tag == "button" and any(x[0] == "p" for x in self.open[-7:])):
             self.end_line()
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                self.links -= sum(x[0] == "a" for x in self.open[k:])
-                del self.open[k:]
+                self.closed(k)
                 return
             if self.open[k][0] in ("article", "main", "td", "body") and tag in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent > 0:
+            return
         _, out, article, container = self.open[-1]
-        if not out:
-            self.parts.append(data)
-            self.places = (article, container)
-            if self.links > 0 and any(x[0] == "a" for x in self.open[-6:]):
-                self.linked += len(data)
+        if out:
+            if not self.parts:
+                self.places = (article, container)
+            self.others.append(data)
+            return
+        self.parts.append(data)
+        self.places = (article, container)
+        if self.links > 0 and any(x[0] == "a" for x in self.open[-6:]):
+            self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -185,11 +210,26 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_lines(lines: list[tuple[str, int, int, bool, float]]) -> list[str]:
-    marked = [x for x in lines if x[3]]
-    lines = marked or lines
-    if not lines:
-        return []
+def upper_cluster(lines: list[tuple[str, int, int, bool, float, bool]]) -> list[tuple]:
+    """The lines of the regions whose smoothed ratio, with what the markup says, is in the upper cluster."""
+    marked = any(x[3] and not x[5] for x in lines)
+    total = sum(len(x[0]) for x in lines)
+    out = np.array([x[5] or marked and not x[3] for x in lines])
+    chars, tags = np.array([len(x[0]) for x in lines]), np.maximum(1, [x[1] for x in lines])
+    ratios = np.log(np.where(out, chars / (tags + total), 1 + (chars + total * marked) / tags))
+    for kind in (out, ~out):
+        if kind.any():
+            ratios[kind] = smooth(ratios[kind])
+    cut = max(threshold(np.r_[0.0, ratios]), 0.0)
+    region = [(x[2] if o or not marked else -1, bool(o)) for x, o in zip(lines, out, strict=True)]
+    kept = {c for c, r in zip(region, ratios.tolist(), strict=True) if r >= cut and r > 0}
+    return [x for x, c in zip(lines, region, strict=True) if c in kept]
+
+
+def content_lines(lines: list[tuple[str, int, int, bool, float, bool]]) -> list[str]:
+    lines = upper_cluster(lines) if lines else []
+    if not lines or any(x[3] for x in lines):
+        return [x[0] for x in lines]
     ratios = smooth(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
     cut = threshold(ratios)
     size: dict[int, list[float]] = {}
@@ -198,9 +238,7 @@ def content_lines(lines: list[tuple[str, int, int, bool, float]]) -> list[str]:
         best[0] = max(best[0], r)
         best[1] += len(x[0])
         best[2] += len(x[0]) * x[4]
-    kept = {c for c, (r, n, linked) in size.items() if marked or r >= cut and linked <= 0.5 * n}
-    if not kept:
-        kept = set(size)
+    kept = {c for c, (r, n, linked) in size.items() if r >= cut and linked <= 0.5 * n} or set(size)
     return [x[0] for x in lines if x[2] in kept]
 
 
