@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,29 @@ def _release_all() -> None:
             _written.pop(path, None)
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column (Spark's names ignore case) is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_whole_rows(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], drop: Sequence[str] = ()) -> DataFrame:
+    """Rows with all their columns, but those to drop, through Python; columns may have any names, with dots too."""
+    names, kept = df.columns, [i for i, c in enumerate(df.columns) if c not in drop]
+    schema = T.StructType([T.StructField(f"c{i}", df.schema.fields[i].dataType) for i in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield change(batch.rename_columns(names)).select(kept).rename_columns(schema.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema).toDF(*(names[i] for i in kept))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

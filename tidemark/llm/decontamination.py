@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import map_whole_rows, small_batches
 
 SEED, Q = 10, 6
 #: Characters of items that one pass over the documents carries along; more items take more passes.
@@ -232,16 +232,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns."""
+    """The documents in which no benchmark item is found, with all their columns.
+
+    A null or empty text holds no item, so its row stays, as do rows with a null id; rows that repeat go or stay
+    alike. Other columns are untouched, whatever their names. Without items all documents stay; an empty table
+    stays empty.
+    """
     small_batches(docs.sparkSession)
     for sent in item_blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for i, *_ in sent.value.leaks(batch.column("text").to_pylist()):
-                    clean[i] = False
-                yield batch.filter(pa.array(clean))
+        def clean(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            keep = np.ones(batch.num_rows, bool)
+            for i, *_ in sent.value.leaks(batch.column("text").to_pylist()):
+                keep[i] = False
+            return batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_whole_rows(docs, clean)
     return docs

@@ -12,6 +12,10 @@ Consecutive windows with one anchor are one row: about one row for 19 words. `co
 rows of equal `whole` form a class: its rows beyond the least doc_id repeat entirely. Only where a core has
 several classes are the windows of each class's first row compared one by one. Windows without an interior
 symbol (inside long runs) stand for themselves.
+
+Words have two independent 64-bit hashes. Names, spans and cores come from the first and only bring rows
+together; whether rows or windows are equal is decided by hashes over the second. So two words that share a
+name, or two cores that collide, cannot make different passages pass for equal.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, release, small_batches
+from tidemark.llm.common import map_whole_rows, materialize, release, small_batches, unused
 
 #: Fixed odd multipliers of the hashes.
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -55,7 +59,7 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 class Spans:
-    """Hashes of any span of a word sequence."""
+    """Hashes of any span of a sequence of word hashes."""
 
     def __init__(self, ids: np.ndarray):
         up, self.down = powers(len(ids) + 1)
@@ -122,9 +126,13 @@ def least_symbols(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarra
         level += 1
 
 
-def window_rows(ids: np.ndarray, bounds: np.ndarray, width: int, rounds: int) -> dict[str, np.ndarray]:
-    """Rows (text, first and last window start, core, whole) that hold every window of every text once."""
-    spans = Spans(ids)
+def window_rows(both: np.ndarray, bounds: np.ndarray, width: int, rounds: int) -> dict[str, np.ndarray]:
+    """Rows (text, first and last window start, core, whole) that hold every window of every text once.
+
+    both has a row for each of the words' two hashes; `spans` hashes spans of the second.
+    """
+    ids = both[0]
+    spans, checks = Spans(ids), Spans(both[1])
     name, low, high = recompress(ids, bounds, rounds)
     n = len(ids)
     sizes = np.diff(bounds)
@@ -145,8 +153,8 @@ def window_rows(ids: np.ndarray, bounds: np.ndarray, width: int, rounds: int) ->
     symbol = np.where(lone, 0, anchor[a])
     s0, s1 = (np.where(lone, p0, low[symbol]), np.where(lone, p0 + width, high[symbol])) if len(name) else (p0, p0 + width)
     core = spans.hash(s0, s1) ^ (np.where(lone, np.uint64(1), name[symbol]) if len(name) else np.uint64(1))
-    whole = spans.hash(p0, np.where(lone, p0, p1) + width)
-    return {"text": t[a], "p0": p0, "p1": p1, "core": core, "whole": whole, "lone": lone, "spans": spans}
+    whole = checks.hash(p0, np.where(lone, p0, p1) + width)
+    return {"text": t[a], "p0": p0, "p1": p1, "core": core, "whole": whole, "lone": lone, "spans": checks}
 
 
 def merge_lone(r: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
@@ -167,15 +175,16 @@ def merge_lone(r: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and each text's bounds among them."""
+    """Two independent hashes of all words (rows), and each text's bounds among the words (columns)."""
     lists = pc.ascii_split_whitespace(texts)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     bounds = np.r_[0, np.cumsum(full)][offsets]
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    known = np.array([digest(w, 7) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
-    return known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64), bounds
+    digest = xxhash.xxh3_128_digest
+    joined = b"".join([digest(w, 7) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()])
+    known = np.frombuffer(joined, np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(known[coded.indices.to_numpy()].T), bounds
 
 
 def sliced(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -190,7 +199,7 @@ def sliced(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray
             keep = np.zeros(len(bounds) - 1, bool)
             keep[long] = True
             sizes = np.diff(bounds)
-            yield at + long, ids[np.repeat(keep, sizes)], np.r_[0, np.cumsum(sizes[long])]
+            yield at + long, ids[:, np.repeat(keep, sizes)], np.r_[0, np.cumsum(sizes[long])]
         at = end
 
 
@@ -204,11 +213,11 @@ def build_filter(cores: DataFrame, size: int) -> np.ndarray:
     part = min(size, 1 << 19)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(size, bool)
+        found = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for at in bits_of(batch.column("core").to_numpy(), size):
-                found[at] = True
-        parts = np.packbits(found).reshape(-1, part // 8)
+                np.bitwise_or.at(found, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        parts = found.reshape(-1, part // 8)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"])
 
@@ -302,12 +311,15 @@ def kept_words(words: list[bytes], starts: list[int] | None, ends: list[int] | N
     return kept + words[at:] if at else words
 
 
-def _joined(docs: DataFrame, width: int, rounds: int, *more: str) -> DataFrame:
+def _joined(docs: DataFrame, width: int, rounds: int, *more: str) -> tuple[DataFrame, str, str]:
+    """doc_id as long, text and `more` with the starts and ends of the repeated spans, and the names of these two columns."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
     spans = repeated_spans(own.select("doc_id", "text"), width, rounds)
-    spans = spans.toDF("__doc_id", "__row_key", "__starts", "__ends")
-    return own.join(spans, (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__row_key")), "left")
+    doc_id, row_key, starts, ends = unused(own.columns, "of_doc", "of_row", "starts", "ends")
+    spans = spans.toDF(doc_id, row_key, starts, ends)
+    found = own.join(spans, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(row_key)), "left")
+    return found.drop(doc_id, row_key), starts, ends
 
 
 def dedup_report(docs: DataFrame, width: int = 50, rounds: int = 3) -> DataFrame:
@@ -331,7 +343,8 @@ def dedup_report(docs: DataFrame, width: int = 50, rounds: int = 3) -> DataFrame
                 [pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    found = _joined(docs, width, rounds).select("doc_id", "text", "__starts", "__ends")
+    found, starts, ends = _joined(docs, width, rounds)
+    found = found.select("doc_id", "text", starts, ends)
     return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -339,25 +352,24 @@ def dedup_texts(docs: DataFrame, width: int = 50, rounds: int = 3) -> DataFrame:
     """The documents with repeated words cut out of the text; n_chars follows where the column exists.
 
     A text that loses no word stays as it is, white space included; others keep the text between removed words.
+    Every row stays, also one whose text loses all its words, and keeps its other columns, whatever their names and
+    types. A null text stays null; a null doc_id takes no part; rows with one doc_id never remove from each other; an
+    empty table stays empty.
     """
+    kept = docs.columns
+    found, starts, ends = _joined(docs, width, rounds, *[f"`{c}`" for c in kept if c not in ("doc_id", "text")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, (starts, ends) in enumerate(zip(batch.column("__starts").to_pylist(), batch.column("__ends").to_pylist(), strict=True)):
-                if starts:
-                    texts[i] = cut_text(texts[i], starts, ends)
-            at = batch.schema.get_field_index("text")
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).select(kept)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        for i, (lo, hi) in enumerate(zip(batch.column(starts).to_pylist(), batch.column(ends).to_pylist(), strict=True)):
+            if lo:
+                texts[i] = cut_text(texts[i], lo, hi)
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    kept = docs.columns
-    rest = [c for c in kept if c not in ("doc_id", "text")]
-    found = _joined(docs, width, rounds, *rest).select(*kept, "__starts", "__ends")
-    out = found.mapInArrow(run, docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
+    out = map_whole_rows(found, cut, (starts, ends)).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     if "n_chars" in kept:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*kept)
+    return out.select(*[f"`{c}`" for c in kept])
 
 
 def cut_text(text: str, starts: list[int], ends: list[int]) -> str:
