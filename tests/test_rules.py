@@ -1,7 +1,10 @@
 """Rules, alerts, cooldown, values as text, durations."""
 
 import json
+import math
+import operator
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,10 +49,56 @@ def test_json_values_keep_their_kind(spark):
         assert df.select(Condition.parse(text).on_json(F.col("r"))).first()[0] is want, (payload, text)
 
 
+@pytest.mark.parametrize("literal", ["5", "nan", "inf", "-Inf", "0"])
+def test_not_finite_numbers_compare_as_machines_do(spark, literal):
+    values = [math.nan, math.inf, -math.inf, 5.0, -0.0, None]
+    tests = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    row = df.select("s", *[Condition.parse(f"s {op} {literal}").typed(df).alias(op) for op in tests]).collect()
+    for v, r in zip(values, row, strict=True):
+        assert {op: r[op] for op in tests} == {op: v is not None and f(v, float(literal)) for op, f in tests.items()}, v
+    text = spark.createDataFrame([("NaN",), ("+Inf",), ("x",)], "s string")
+    assert [r[0] for r in text.select(Condition.parse("s == nan").typed(text)).collect()] == [True, False, False]
+    assert [r[0] for r in text.select(Condition.parse("s == inf").typed(text)).collect()] == [False, True, False]
+
+
+def test_a_json_record_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"k":60,"value":1}',)], "p string")
+    plan = df.where(Condition.parse("k >= 50 AND value < 20 AND k != 7").on_json(F.try_parse_json("p")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson") <= 2 and plan.count("try_variant_get") <= 12
+
+
+def test_dense_hits_of_one_rule_are_spread(spark):
+    rng = random.Random(6)
+    times = sorted(rng.sample(range(1, 10**6), 20_000))
+    df = spark.createDataFrame([(t, 1.0) for t in times], "ts_ns long, v double")
+    for cooldown in (1, 40, 700, 90_000, 10**7, 0):
+        out = with_cooldown(alerts(df, [Rule("r", "v > 0", cooldown), Rule("s", "v > 0", 33)], F.lit("d")), part_rows=1500)
+        want = [t for t, f in zip(times, fires(times, cooldown), strict=True) if f]
+        assert sorted(r.ts_ns for r in out.where("rule_name = 'r'").collect()) == want
+    assert with_cooldown(alerts(df.limit(0), [Rule("r", "v > 0", 5)], F.lit("d"))).collect() == []
+
+
+def test_numbers_of_any_size_as_text(spark):
+    rng = random.Random(8)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-25, 25) for _ in range(400)] + [0.1 + 0.2, 0.00012345678901234567, 1 / 3, 8.41e21, 2e23, 9007199254740993.0, 1e15 + 0.3, 5e-310, 1.7976931348623157e308, 100.0, 1e100]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for r in df.select("i", number_text(F.col("x")).alias("t")).collect():
+        x = values[r.i]
+        assert r.t == python_text(x), (x, r.t)
+        if math.isfinite(x):
+            assert float(r.t) == x
+
+
 def test_parsing():
     assert [parse_literal(t) for t in ("80", "80.5", '"hello"', "true", "FALSE", "-10", "bare")] == [80.0, 80.5, "hello", True, False, -10.0, "bare"]
-    assert str(Condition.parse("a > 80 AND b == 'x'")) == 'a > 80 AND b == "x"'
-    for bad in ("", "temperature 80", "a > 1 AND b > 2 OR c > 3", "a >"):
+    assert str(Condition.parse("a > 80 and b == 'x'")) == 'a > 80 AND b == "\'x\'"'
+    numbers = {"1_000": 1000.0, "0x1p-2": 0.25, ".5": 0.5, "5.": 5.0, "+1e3": 1000.0, "Inf": math.inf, "-infinity": -math.inf}
+    assert {t: parse_literal(t) for t in numbers} == numbers and math.isnan(parse_literal("NaN"))
+    for text in ("1e999", "0x10", "1__0", "_1", "'x'", "+nan", "1 2", "٣"):
+        assert parse_literal(text) == text
+    for bad in ("", "temperature 80", "a > 1 AND b > 2 OR c > 3", "a > 1 and b > 2 or c > 3", "a >"):
         with pytest.raises(ValueError):
             Condition.parse(bad)
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import output, retention, running, scans
 from tidemark.operators.schema import Field, SchemaRegistry
-from tidemark.sources.lines import envelopes, journal_records, line_documents
-from tidemark.sources.store import Config, Engine
+from tidemark.sources.lines import envelopes, journal_records, line_documents, rates, system_stats
+from tidemark.sources.store import Config, Engine, Store
 
 S = 10**9
 
@@ -42,6 +42,7 @@ def test_life_of_a_store(spark, engine):
     assert [r.ts_ns for r in store.records().orderBy("ts_ns").collect()] == [1000, 2000, 4000, 5000, 6000]
     assert store.stats().first().oldest == "1970-01-01T00:00:00Z" and store.oldest_ns() == 1000
     assert [r.ts_ns for r in store.newest(9, text='"I"', ignore_case=True).collect()] == [5000, 4000, 2000, 1000]
+    assert [r.ts_ns for r in store.newest(9, text='"I"').collect()] == []
     store.compact()
     assert store.records().count() == 5
     store.reset()
@@ -62,6 +63,115 @@ def test_life_of_a_store(spark, engine):
         engine.open("a")
 
 
+def test_places_of_a_store(spark, engine):
+    store = engine.create(Config("p", num_blocks=10, block_size=512))
+    handles = [store.put('"' + "x" * 398 + '"', k) for k in range(1, 4)]
+    rows = store.append(frame(spark, [(k, '"' + "x" * 398 + '"') for k in range(4, 16)]))
+    assert sorted(r.block_seq for r in rows.collect()) == list(range(3, 15)) and handles[1].block_seq == 1
+    assert sorted(r.ts_ns for r in store.records().collect()) == list(range(6, 16))
+    assert store.get(handles[1]).count() == 0 and store.oldest_ns() == 6
+    assert {(r.ts_ns, r.block_num) for r in store.records().collect()} == {(k, (k - 1) % 10) for k in range(6, 16)}
+    assert store.of_block(4).first().ts_ns == 15 and store.of_block(5).first().ts_ns == 6
+    for n in (-1, 10):
+        with pytest.raises(IndexError):
+            store.of_block(n)
+    assert store.exact_block(9).first().block_num == 8 and store.exact_block(99).count() == 0
+    assert [store.floor_block(t).first().first_ts for t in (1, 6, 9, 99)] == [6, 6, 9, 15]
+    assert sorted(r.first_ts for r in store.blocks_in_range(7, 9).collect()) == [7, 8, 9]
+    with pytest.raises(ValueError):
+        store.blocks_in_range(9, 7)
+    big = store.put('"' + "x" * 1074 + '"', 20)
+    assert (big.block_seq, big.span_count) == (15, 3) and [r.ts_ns for r in store.oldest(1).collect()] == [9]
+    small = [store.put("{}", 21), store.put("{}", 22)]
+    assert [(h.block_seq, h.offset) for h in small] == [(18, 0), (18, 26)] and store.get(small[1]).first().ts_ns == 22
+    store.delete_handle(small[1])
+    with pytest.raises(KeyError):
+        store.delete_handle(small[1])
+    assert [r.ts_ns for r in store.newest(2).collect()] == [21, 20]
+    ring = store.stats().first()
+    assert (ring.active_blocks, ring.head_block, ring.tail_block, ring.write_offset, ring.records) == (10, 8, 9, 52, 8)
+    shown = output.response(store.records(), True).where("timestamp = 21").first()
+    assert (shown.block_num, shown.size, shown.data) == (8, 2, "{}")
+    row = engine.status().first()
+    assert (row.records, row.connections, row.capacity_bytes) == (8, 0, 4880) and 0 < row.used_percent <= 100
+
+
+def test_a_key_comes_again_after_its_delete(spark, engine):
+    store = engine.create(Config("again"))
+    store.put({"a": 1}, 100)
+    store.delete(100)
+    store.insert('{"a":2}', 100)
+    assert [r.payload for r in store.at(100).collect()] == ['{"a":2}']
+    store.delete(100)
+    assert store.records().count() == 0
+
+
+def test_writers_that_die_leave_the_store_as_it_was(spark, engine, monkeypatch):
+    store = engine.create(Config("safe"))
+    store.append(frame(spark, [(k, "{}") for k in range(1, 6)]))
+    store.delete(3)
+    want = sorted(r.ts_ns for r in store.records().collect())
+
+    def dies(*_, **__):
+        raise OSError("power cut")
+
+    for work in (lambda: store.compact(), lambda: store.append(frame(spark, [(9, "{}")])), lambda: store.put("{}", 9), lambda: store.delete(2), lambda: store.reset()):
+        monkeypatch.setattr(store, "commit", dies)
+        with pytest.raises(OSError):
+            work()
+        monkeypatch.undo()
+        engine.close()
+        store = engine.open("safe")
+        assert sorted(r.ts_ns for r in store.records().collect()) == want and store.recover() == []
+    first, second = engine.open("safe"), Store(spark, store.path, store.config, store.registry)
+    stale = second.state()
+    first.put("{}", 50)
+    with pytest.raises(Exception, match="exist"):
+        second.commit(stale, records=[])
+    assert store.at(50).count() == 1
+
+
+def test_rows_are_computed_once(spark, engine):
+    store = engine.create(Config("once"))
+    random_rows = spark.range(1, 200, numPartitions=3).select(F.col("id").alias("ts_ns"), F.concat(F.lit('{"v":'), F.rand().cast("string"), F.lit("}")).alias("payload"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    store.append(random_rows.mapInArrow(count, random_rows.schema))
+    assert calls.value == 199 == store.records().count()
+
+
+def test_messages_are_taken_one_by_one(spark, engine):
+    lines = ['{"timestamp":5,"data":{"a":1}}', "broken", '{"timestamp":4,"data":{}}', '{"data":{"b":2}}', '{"timestamp":6,"data":{}}', '{"timestamp":9000,"data":{}}', '{"data":{}}']
+    store = engine.create(Config("m"))
+    done = store.append_messages(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), now_ns=1000).orderBy("arrival").collect()
+    late = "keys must be larger than what is stored and before them"
+    assert [(r.ts_ns, r.error) for r in done] == [(5, None), (1001, "invalid JSON"), (4, late), (1003, None), (6, late), (9000, None), (1006, late)]
+    assert sorted((r.ts_ns, r.payload) for r in store.records().collect()) == [(5, '{"a":1}'), (1003, '{"b":2}'), (9000, "{}")]
+    many = spark.range(0, 400, numPartitions=7).select(F.lit('{"data":{}}').alias("value"))
+    assert store.append_messages(many, now_ns=20_000).where("error is null").count() == 400 and store.newest_ns() == 20_399
+    schema = engine.create(Config("ms", kind="schema"))
+    schema.set_schema([Field(1, "a", "int32")])
+    done = schema.append_messages(spark.createDataFrame([('{"timestamp":1,"data":{"a":1}}',), ('{"timestamp":2,"data":{"z":1}}',)], "value string").coalesce(1))
+    assert [r.error for r in done.orderBy("ts_ns").collect()] == [None, "a record has fields that the schema lacks"]
+    assert schema.at(1).first().payload == '{"1":1}' and schema.get_schema()["version"] == 1
+    schema.append_messages(spark.createDataFrame([('{"timestamp":3,"data":{"1":7}}',)], "value string"), compact=True)
+    assert schema.at(3).first().payload == '{"1":7}'
+
+
+def test_requests_are_dispatched_by_type(spark, engine):
+    json_store, text = engine.create(Config("rj")), engine.create(Config("rt", kind="text"))
+    assert json_store.post('{"timestamp":7,"data":{"a":1}}', "application/json; charset=utf-8").ts_ns == 7
+    assert json_store.post(b'{"data":2}', "application/json", now_ns=9).ts_ns == 9 and text.post("a b", "text/plain", now_ns=5).size == 3
+    for store, body, kind in ((json_store, "{}", "text/plain"), (json_store, "no", "application/json"), (json_store, '{"x":1}', "application/json"), (text, "x", "application/json")):
+        with pytest.raises(ValueError):
+            store.post(body, kind, now_ns=99)
+
+
 def test_schema_store(spark, engine):
     store = engine.create(Config("s", kind="schema"))
     store.set_schema([Field(1, "temperature", "float32"), Field(2, "sensor", "string")])
@@ -71,6 +181,10 @@ def test_schema_store(spark, engine):
         store.append(frame(spark, [(9, '{"unknown":1}')]))
     row = store.aggregate("1m", default="avg").first()
     assert (row.record_count, row.temperature, row.sensor) == (3, 71.5, "y")
+    assert store.aggregate("1m", default="max", text="X", ignore_case=True).first().record_count == 1
+    assert store.aggregate("1m", default="max", start=2, now_ns=9).first().record_count == 2
+    header, rows = store.aggregate_compact("1m", default="max")
+    assert header == {"1": "temperature", "2": "sensor"} and rows.first()["1"] == 72.5
     engine.close()
     assert engine.open("s").registry.fields()[1].name == "sensor"
     shown = output.response(engine.open("s").records(), True, "schema", store.registry).collect()
@@ -165,7 +279,21 @@ def test_packing_and_retention(spark):
     assert sorted(r.ts_ns for r in retention.keep_newest_blocks(retention.packed(one_each, 512), 10).collect()) == list(range(5, 15))
     with pytest.raises(ValueError):
         retention.packed(df, 500)
+    for rows, newest in ((60, 0), (60, 10), (1, 7), (1000, 10), (399, 400)):
+        parts = retention.packed(df.withColumns({"offset": F.lit("x"), "block_seq": F.lit("y"), "part": F.lit("z")}), 512, newest=newest, part_rows=rows)
+        want = [(i, *x) for i, x in enumerate(next_fit(sizes, 512)) if not newest or x[0] >= last - newest]
+        assert [(r.ts_ns, r.block_seq, r.offset, r.span_count) for r in parts.orderBy("ts_ns").collect()] == want and parts.columns[:3] == ["ts_ns", "size", "part"]
+    half = 200
+    first = next_fit(sizes[:half], 512)[-1]
+    need = sizes[half - 1] + 24
+    state = (first[0] + first[2] - 1, 488 if need > 488 else first[1] + need)
+    rest = retention.packed(df.where(F.col("ts_ns") >= half), 512, last=state, part_rows=50).orderBy("ts_ns").collect()
+    assert [(r.block_seq, r.offset, r.span_count) for r in rest] == next_fit(sizes, 512)[half:]
     two = df.withColumn("s", F.col("ts_ns") % 2)
+    for rows in (1000, 30):
+        both = retention.packed(two, 512, store="s", part_rows=rows).orderBy("ts_ns").collect()
+        for k in (0, 1):
+            assert [(r.block_seq, r.offset, r.span_count) for r in both if r.s == k] == next_fit(sizes[k::2], 512)
     assert sorted((r.s, r.block_seq) for r in retention.packed(two, 512, store="s").collect())[0] == (0, 0)
 
 
@@ -178,10 +306,41 @@ def test_ordering_guard(spark):
         for i, t in enumerate(keys):
             want[i] = t > 0 and t > seen
             seen = max(seen, t)
-        got = {r.arrival: r.accepted for r in running.ordering_guard(df, newest_ns=newest, chunk_rows=7).collect()}
+        got = {r.arrival: r.accepted for r in running.ordering_guard(df, newest_ns=newest, part_rows=7).collect()}
         assert got == want
 
 
+def test_floor_blocks_in_parts(spark):
+    rng = random.Random(5)
+    firsts, asked = sorted(rng.sample(range(50, 5000), 60)), [rng.randint(1, 5200) for _ in range(150)]
+    blocks = spark.createDataFrame([(i, t) for i, t in enumerate(firsts)], "block_num long, first_ts long")
+    probes = spark.createDataFrame([(t,) for t in asked], "ts_ns long")
+    want = sorted((t, max((i for i, f in enumerate(firsts) if f <= t), default=0)) for t in asked)
+    for rows in (20, 10**6):
+        assert sorted((r.ts_ns, r.block_num) for r in running.floor_blocks(blocks, probes, rows).collect()) == want
+    assert running.floor_blocks(blocks.limit(0), probes).collect() == []
+
+
+def test_rates_and_system_stats(spark):
+    rng = random.Random(6)
+    columns = ["cpu_total", "cpu_idle", "memory_total", "memory_available", "disk_read", "disk_write", "network_rx", "network_tx", "space_total", "space_available"]
+    rows, at = [], [0] * 10
+    for k in range(50):
+        at = [a + rng.randint(0, 9000) for a in at]
+        at[1] = at[0] // 2
+        rows.append((k * 5 * S + 7, *at[:2], 8000, 3000, *at[4:8], 0 if k % 2 else 900, 0 if k % 2 else 300))
+    df = spark.createDataFrame(rows, "ts_ns long, " + ", ".join(f"{c} long" for c in columns))
+    for n in (7, 1000):
+        got = system_stats(df, n).orderBy("ts_ns").collect()
+        assert len(got) == 49 and len(got[0]) == 14
+        for r, (before, now) in zip(got, zip(rows, rows[1:], strict=False), strict=True):
+            total, idle = now[1] - before[1], now[2] - before[2]
+            assert r["cpu.pct"] == ((total - idle) * 100 // total if total else 0) and r["memory.used"] == 5000 and r["memory.pct"] == 62
+            assert r["disk_io.read_bytes_sec"] == (now[5] - before[5]) // 5 and r["disk_space.pct"] == (66 if now[9] else 0)
+        per = {r.ts_ns: r.disk_read_per_sec for r in rates(df, ["disk_read"], n).collect()}
+        assert per[7] == 0 and all(per[b[0]] == (b[5] - a[5]) / 5 for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_ingest(spark):
     lines = spark.createDataFrame([('{"timestamp":5,"data":{"a":1}}',), ('{"data":[1]}',), ("oops",), ('{"timestamp":-1,"data":1}',), ('{"timestamp":3}',)], "value string")
     got = [(r.ts_ns, r.payload, r.error) for r in envelopes(lines, 99).collect()]

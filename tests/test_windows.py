@@ -108,3 +108,25 @@ def test_null_json_is_an_empty_record_and_dotted_names_work(spark):
     schema = T.StructType([T.StructField("ts_ns", T.LongType()), T.StructField("cpu.pct", T.IntegerType())])
     out = aggregate(spark.createDataFrame([(1, 4), (2, 6)], schema), AggSpec.parse("1m", "cpu.pct:avg+max"), ["cpu.pct"]).first()
     assert (out["cpu.pct_avg"], out["cpu.pct_max"]) == (5.0, 6.0)
+
+
+def test_reserved_names_are_not_lost(spark):
+    rows = [(1, 5.0, 1.0, 2.0), (2, 7.0, 3.0, 4.0)]
+    got = windows(spark, rows, "partial double, record_count double, window_end double", AggSpec.parse("1m", default="max"), ["partial", "record_count", "window_end"])
+    assert got == [{"window_end": M, "record_count": 2, "partial": True, "field_partial": 7.0, "field_record_count": 3.0, "field_window_end": 4.0}]
+    with pytest.raises(ValueError):
+        windows(spark, [(1, 5.0, 1.0)], "a double, a_max double", AggSpec.parse("1m", "a:avg+max", "max"), ["a", "a_max"])
+
+
+def test_json_windows_read_the_payload_once(spark, tmp_path):
+    spark.createDataFrame([(1, '{"a":1}')], "ts_ns long, payload string").write.parquet(str(tmp_path / "r"))
+    out = aggregate_json(spark.read.parquet(str(tmp_path / "r")), AggSpec.parse("1m", default="avg"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange [window_end" in plan and "Join" not in plan
+
+
+def test_json_window_limit(spark):
+    rows = [(k * M + 1, json.dumps({"a": k})) for k in range(5)] + [(5 * M + 1, "{}")]
+    got = aggregate_json(spark.createDataFrame(rows, "ts_ns long, payload string"), AggSpec.parse("1m", default="max"), limit=2).collect()
+    assert sorted((r.window_end, r.number, r.partial) for r in got) == [(M, 0.0, False), (2 * M, 1.0, False)]

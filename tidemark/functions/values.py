@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,64 +18,87 @@ def is_number_type(kind: T.DataType) -> bool:
 
 
 def number_text(x: Column) -> Column:
-    """A double in the shortest form: 80, 80.5, 0.0001, 1e+21, 1e-05."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,16)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    short = x.cast("string")  # such as 1.0E-5
-    mantissa = F.regexp_replace(F.regexp_extract(short, r"^(.*)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(short, r"E(-?\d+)$", 1).cast("int")
-    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    scientific = F.concat(mantissa, sign, F.format_string("%02d", F.abs(exponent)))
-    whole = x.cast("decimal(38,0)").cast("string")
-    size = F.abs(x)
+    """A double in the shortest form that reads back as it: 80, 80.5, 0.0001, 1e+21, 1e-05, -0, NaN, +Inf.
+
+    The digits are the fewest of 15, 16 or 17 that give the same double, without zeros at their end; then the point
+    is put where the exponent says. From 1e21 on and below 0.0001 the exponent is shown.
+    """
+    tries = [F.format_string(f"%.{k}e", x) for k in (14, 15, 16)]
+    shown = F.when(tries[0].cast("double") == x, tries[0]).when(tries[1].cast("double") == x, tries[1]).otherwise(tries[2])
+    head, power = F.substring_index(shown, "e", 1), F.substring_index(shown, "e", -1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(head, "[-.]", ""), "(?<=.)0+$", "")
+    n = F.length(digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+    text = (
+        F.when((power >= 21) | (power < -4), F.concat(
+            F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise(""),
+            F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))))
+        .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(n > power + 1, F.concat(whole, F.lit("."), F.substring(digits, power + 2, F.lit(20))))
+        .otherwise(whole)
+    )
+    sign = F.when(F.startswith(shown, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     return (
-        F.when(F.isnan(x), F.lit("NaN"))
-        .when(x == float("inf"), F.lit("+Inf"))
-        .when(x == float("-inf"), F.lit("-Inf"))
-        .when((size >= 1e21) | ((size < 1e-4) & (x != 0)), scientific)
-        .when(x == F.floor(x), whole)
-        .otherwise(plain)
-    )
+        F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf"))
+        .otherwise(F.concat(sign, text))
+    )
 
 
 def python_text(value: object) -> str:
     """The same for a literal."""
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        x = float(value)
-        if x == int(x) and abs(x) < 1e21:
-            return str(int(x))
-        digits, _, exponent = f"{x!r}".replace("E", "e").partition("e")
-        if exponent and not -5 < int(exponent) < 21:
-            return f"{digits.removesuffix('.0')}e{'-' if int(exponent) < 0 else '+'}{abs(int(exponent)):02d}"
-        return f"{x:.17f}".rstrip("0") if exponent else repr(x)
-    return str(value)
+    if not isinstance(value, (int, float)):
+        return str(value)
+    x = float(value)
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "+Inf" if x > 0 else "-Inf"
+    sign, shown, exponent = Decimal(repr(x)).as_tuple()
+    digits = "".join(map(str, shown)).rstrip("0") or "0"
+    power = len(shown) + exponent - 1 if x else 0
+    digits = digits.lstrip("0") or "0"
+    minus = "-" if sign else ""
+    if power >= 21 or power < -4:
+        rest = f".{digits[1:]}" if len(digits) > 1 else ""
+        return f"{minus}{digits[0]}{rest}e{'-' if power < 0 else '+'}{abs(power):02d}"
+    if power < 0:
+        return f"{minus}0.{'0' * (-power - 1)}{digits}"
+    whole, rest = digits[: power + 1].ljust(power + 1, "0"), digits[power + 1 :]
+    return f"{minus}{whole}.{rest}" if rest else f"{minus}{whole}"
 
 
 class Value:
-    """A field of a record: present, number (null where it is none) and text columns."""
+    """A field of a record: whether it is present and a number, its number, and its text.
+
+    The text of a number is a costly expression, so it is made only when asked for; `other` is the text of what is
+    present and no number.
+    """
+
+    def __init__(self, present: Column, is_number: Column, number: Column, other: Column):
+        self.present, self.is_number, self.number, self.other = present, is_number, number, other
+
+    def text(self) -> Column:
+        return F.when(self.is_number, number_text(self.number)).otherwise(self.other)
 
-    def __init__(self, present: Column, number: Column, text: Column):
-        self.present, self.number, self.text = present, number, text
+
+def missing_value() -> Value:
+    return Value(F.lit(False), F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("string"))
 
 
 def typed_value(column: Column, kind: T.DataType) -> Value:
     """Of a typed column; null stands for a missing field."""
     if is_number_type(kind):
-        number = column.cast("double")
-        return Value(column.isNotNull(), number, number_text(number))
-    return Value(column.isNotNull(), F.lit(None).cast("double"), column.cast("string"))
+        return Value(column.isNotNull(), F.lit(True), column.cast("double"), F.lit(None).cast("string"))
+    return Value(column.isNotNull(), F.lit(False), F.lit(None).cast("double"), column.cast("string"))
 
 
-def variant_value(record: Column, field: str) -> Value:
-    """Of a field of a VARIANT record; an explicit null is present and reads '<nil>'."""
-    inner = F.try_variant_get(record, "$['" + field.replace("'", "\\'") + "']", "variant")
-    kind = F.schema_of_variant(inner)
-    number = F.when(kind.rlike(NUMBER_KINDS), F.try_variant_get(inner, "$", "double"))
-    text = (
-        F.when(kind == "VOID", F.lit("<nil>"))
-        .when(kind.rlike(NUMBER_KINDS), number_text(number))
-        .when(kind == "STRING", F.try_variant_get(inner, "$", "string"))
-        .otherwise(F.to_json(inner))
-    )
-    return Value(inner.isNotNull(), number, text)
+def variant_field(record: Column, name: str) -> Column:
+    """A field of a VARIANT record as VARIANT, null if it is absent."""
+    return F.try_variant_get(record, "$['" + name.replace("'", "\\'") + "']", "variant")
+
+
+def variant_value(field: Column) -> Value:
+    """Of a VARIANT field; an explicit null is present and reads '<nil>'."""
+    kind = F.schema_of_variant(field)
+    other = F.coalesce(F.try_variant_get(field, "$", "string"), F.lit("<nil>"))
+    return Value(kind.isNotNull(), kind.rlike(NUMBER_KINDS), F.try_variant_get(field, "$", "double"), other)

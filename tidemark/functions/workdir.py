@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset, as on one machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+    """The folder in spark.checkpoint.dir; where it is unset a temporary one, on a single machine only."""
+    name = "spark.checkpoint.dir"
+    found = spark.sparkContext.getConf().get(name, None) or spark.conf.get(name, None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {name} to a folder that all machines of {master} see")
+    return temporary_folder()
+
+
+@lru_cache(maxsize=1)
+def temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")

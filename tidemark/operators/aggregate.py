@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -48,86 +49,107 @@ def _functions(names: list[str]) -> list[str]:
     return out
 
 
+#: Columns that every result has beside its outputs.
+RESERVED = ("window_end", "record_count", "partial")
+
+
 def output_name(name: str, fn: str, many: bool) -> str:
     return f"{name}_{fn}" if many else name
 
 
+def output_columns(spec: AggSpec, kinds: dict[str, T.DataType], names: list[str], by: Sequence[str] = ()) -> list[tuple[str, str, str]]:
+    """(field, function, column) of every output.
+
+    A field called like a column of the result, or like a key of `by`, gets 'field_' before its name; two outputs
+    of one name are an error, so none is lost.
+    """
+    out = []
+    for name in names:
+        fns = spec.functions(name, is_number_type(kinds[name]))
+        for fn in fns:
+            column = output_name(name, fn, len(fns) > 1)
+            out.append((name, fn, f"field_{column}" if column.lower() in (*RESERVED, *(b.lower() for b in by)) else column))
+    columns = [c.lower() for *_, c in out]
+    if twice := sorted({c for c in columns if columns.count(c) > 1}):
+        raise ValueError(f"several outputs are called {twice}")
+    return out
+
+
+def output_value(fn: str, value: Column, numeric: bool, ts_ns: str) -> Column:
+    """What one function makes of a field; a null is a missing field, and avg divides by all present values."""
+    number = value.cast("double") if numeric else F.lit(None).cast("double")
+    return {
+        "sum": lambda: F.sum(number), "avg": lambda: F.sum(number) / F.count(value), "max": lambda: F.max(number), "min": lambda: F.min(number),
+        "count": lambda: F.count(value), "last": lambda: F.max_by(value, F.when(value.isNotNull(), F.col(ts_ns))),
+    }[fn]()
+
+
 def window_end(width: int, ts_ns: str = "ts_ns") -> Column:
     """The exclusive end of the epoch-aligned window of a key."""
     return F.expr(f"({ts_ns} div {width} + 1) * {width}")
 
 
-def aggregate(df: DataFrame, spec: AggSpec, names: list[str], limit: int = 0, by: list[str] = (), ts_ns: str = "ts_ns") -> DataFrame:
+def aggregate(df: DataFrame, spec: AggSpec, names: list[str], limit: int = 0, by: Sequence[str] = (), ts_ns: str = "ts_ns") -> DataFrame:
     """Typed records: window_end, record_count, partial and one column for each output, ascending.
 
     A null is a missing field. avg divides by all present values. The last window is partial, and sums of a
     partial window are null, since more records may come. The window that is last is read from the keys alone.
-    With `by`, windows are kept apart by more columns.
+    With `by`, windows are kept apart by more columns. Names of outputs follow output_columns().
     """
     kinds = {f.name: f.dataType for f in df.schema}
-    columns: list[Column] = []
-    sums: list[str] = []
-    for name in names:
-        value, numeric = F.col(f"`{name}`"), is_number_type(kinds[name])
-        number = value.cast("double") if numeric else F.lit(None).cast("double")
-        fns = spec.functions(name, numeric)
-        for fn in fns:
-            made = {
-                "sum": lambda n=number: F.sum(n),
-                "avg": lambda n=number, v=value: F.sum(n) / F.count(v),
-                "max": lambda n=number: F.max(n),
-                "min": lambda n=number: F.min(n),
-                "count": lambda v=value: F.count(v),
-                "last": lambda v=value: F.max_by(v, F.when(v.isNotNull(), F.col(ts_ns))),
-            }[fn]()
-            out = output_name(name, fn, len(fns) > 1)
-            columns.append(made.alias(out))
-            if fn == "sum":
-                sums.append(out)
+    outputs = output_columns(spec, kinds, names, by)
+    made = [output_value(fn, F.col(f"`{name}`"), is_number_type(kinds[name]), ts_ns).alias(column) for name, fn, column in outputs]
     newest = df.select(F.max(window_end(spec.window_ns, ts_ns))).scalar()
-    grouped = df.groupBy(*by, window_end(spec.window_ns, ts_ns).alias("window_end")).agg(F.count(F.lit(1)).alias("record_count"), *columns)
+    grouped = df.groupBy(*by, window_end(spec.window_ns, ts_ns).alias("window_end")).agg(F.count(F.lit(1)).alias("record_count"), *made)
     out = grouped.withColumn("partial", F.col("window_end") == newest)
-    out = out.withColumns({s: F.when(~F.col("partial"), F.col(f"`{s}`")) for s in sums})
-    out = out.select(*by, "window_end", "record_count", "partial", *[f"`{c}`" for c in out.columns if c not in (*by, "window_end", "record_count", "partial")])
+    out = out.withColumns({c: F.when(~F.col("partial"), F.col(f"`{c}`")) for _, fn, c in outputs if fn == "sum"})
+    out = out.select(*by, *RESERVED, *[f"`{c}`" for *_, c in outputs])
     return out.orderBy("window_end").limit(limit) if limit > 0 else out
 
 
-def aggregate_json(df: DataFrame, spec: AggSpec, payload: str = "payload") -> DataFrame:
+def aggregate_json(df: DataFrame, spec: AggSpec, payload: str = "payload", limit: int = 0) -> DataFrame:
     """Schemaless records in long form: window_end, record_count, partial, name, number, value (JSON of 'last').
 
     A field of a window is numeric if its first present value there is. Explicit nulls are present. Texts that
-    are no JSON objects are no records, but the JSON null is an empty one.
+    are no JSON objects are no records, but the JSON null is an empty one. limit keeps the first windows.
+
+    The payload is read and parsed once: a record counts where its first field (or the gap of an empty one) does,
+    and the newest window is read from the grouped rows, whose exchange is reused.
     """
     parsed = df.select("ts_ns", F.try_parse_json(F.col(payload).cast("string")).alias("record"))
-    parsed = parsed.where(F.schema_of_variant("record").rlike("^(OBJECT|VOID)")).withColumn("window_end", window_end(spec.window_ns))
-    records = parsed.groupBy("window_end").agg(F.count(F.lit(1)).alias("record_count"))
     spark = df.sparkSession
-    fields = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("record").outer())).where("key is not null")
+    fields = parsed.lateralJoin(spark.tvf.variant_explode_outer(F.col("record").outer()))
+    # an exploded array has no keys, a scalar no rows of its own: only objects and null are records
+    fields = fields.where("key is not null or schema_of_variant(record) in ('VOID', 'OBJECT<>')")
     kind = F.schema_of_variant("value")
     number = F.when(kind.rlike(NUMBER_KINDS), F.try_variant_get("value", "$", "double"))
-    stats = fields.groupBy("window_end", "key").agg(
-        F.min_by(kind, "ts_ns").rlike(NUMBER_KINDS).alias("numeric"),
+    stats = fields.groupBy(window_end(spec.window_ns).alias("window_end"), "key").agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("records"), F.min_by(kind, "ts_ns").rlike(NUMBER_KINDS).alias("numeric"),
         F.sum(number).alias("sum"), F.count(F.lit(1)).alias("count"), F.max(number).alias("max"), F.min(number).alias("min"),
         F.max_by(F.to_json("value"), "ts_ns").alias("last"),
     )
+    each = F.struct("key", "numeric", "sum", "count", "max", "min", "last")
+    windows = stats.groupBy("window_end").agg(F.sum("records").alias("record_count"), F.collect_list(each).alias("fields"))
+    newest = windows.select(F.max(F.when(F.col("record_count") + F.size("fields") > 0, F.col("window_end")))).scalar()
+    windows = windows.withColumn("partial", F.col("window_end") == newest)
+    if limit > 0:
+        windows = windows.orderBy("window_end").limit(limit)
     wanted = F.lit(None).cast("array<string>")
     for name, fns in spec.fields.items():
-        wanted = F.when(F.col("key") == name, F.array(*map(F.lit, fns))).otherwise(wanted)
+        wanted = F.when(F.col("f.key") == name, F.array(*map(F.lit, fns))).otherwise(wanted)
     default = F.array(*map(F.lit, spec.default or ["last"]))
-    wanted = F.coalesce(wanted, F.when(F.col("numeric"), default).otherwise(F.array(F.lit("last"))))
-    newest = parsed.select(F.max("window_end")).scalar()
-    each = stats.withColumn("fns", wanted).withColumn("partial", F.col("window_end") == newest).select("*", F.explode("fns").alias("fn"))
+    wanted = F.coalesce(wanted, F.when(F.col("f.numeric"), default).otherwise(F.array(F.lit("last"))))
+    rows = windows.select(*RESERVED, F.explode("fields").alias("f")).where("f.key is not null")
+    rows = rows.select("*", wanted.alias("fns")).select("*", F.explode("fns").alias("fn"))
     number = (
-        F.when(F.col("fn") == "sum", F.when(~F.col("partial"), F.col("sum")))
-        .when(F.col("fn") == "avg", F.col("sum") / F.col("count"))
-        .when(F.col("fn") == "max", F.col("max"))
-        .when(F.col("fn") == "min", F.col("min"))
-        .when(F.col("fn") == "count", F.col("count").cast("double"))
-    )
-    name = F.when(F.size("fns") > 1, F.concat("key", F.lit("_"), "fn")).otherwise(F.col("key"))
-    return each.join(records, "window_end").select(
-        "window_end", "record_count", "partial", name.alias("name"), number.alias("number"), F.when(F.col("fn") == "last", F.col("last")).alias("value")
+        F.when(F.col("fn") == "sum", F.when(~F.col("partial"), F.col("f.sum")))
+        .when(F.col("fn") == "avg", F.col("f.sum") / F.col("f.count"))
+        .when(F.col("fn") == "max", F.col("f.max"))
+        .when(F.col("fn") == "min", F.col("f.min"))
+        .when(F.col("fn") == "count", F.col("f.count").cast("double"))
     )
+    name = F.when(F.size("fns") > 1, F.concat("f.key", F.lit("_"), "fn")).otherwise(F.col("f.key"))
+    return rows.select(*RESERVED, name.alias("name"), number.alias("number"), F.when(F.col("fn") == "last", F.col("f.last")).alias("value"))
 
 
 def numeric_map(schema: T.StructType) -> dict[str, bool]:

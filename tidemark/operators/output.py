@@ -21,8 +21,9 @@ def rendered(payload: Column, kind: str, registry: SchemaRegistry | None = None,
 
 
 def response(df: DataFrame, include_data: bool, kind: str = "json", registry: SchemaRegistry | None = None, compact: bool = False) -> DataFrame:
-    """timestamp, size and, if asked for, data; without it the payload's bytes are not kept."""
-    columns = [F.col("ts_ns").alias("timestamp"), payload_size(F.col("payload")).alias("size")]
+    """timestamp, block_num (of a store's records), size and, if asked for, data; without it the payload's bytes are not kept."""
+    place = ["block_num"] if "block_num" in df.columns else []
+    columns = [F.col("ts_ns").alias("timestamp"), *place, payload_size(F.col("payload")).alias("size")]
     return df.select(*columns, *([rendered(F.col("payload"), kind, registry, compact).alias("data")] if include_data else []))
 
 
@@ -32,9 +33,21 @@ def data_envelope(ts_ns: Column, data: Column, kind: str | None = "data") -> Col
     return F.to_json(F.struct(*parts, ts_ns.alias("timestamp"), data.alias("data")))
 
 
-def alert_envelope(alerts: DataFrame) -> DataFrame:
-    body = F.struct("rule_name", "condition", F.col("ts_ns").alias("timestamp"), "data", "store_name")
-    return alerts.select(F.to_json(F.struct(F.lit("alert").alias("type"), F.col("ts_ns").alias("timestamp"), body.alias("alert"))).alias("message"))
+def record_envelope(ts_ns: Column, record: Column, kind: str | None = "data") -> Column:
+    """The same around a record that is JSON, which stands in it as it is; what is no JSON stands in it as a string."""
+    quoted = F.to_json(F.array(record))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    value = F.when(F.try_parse_json(record).isNotNull(), record).otherwise(quoted)
+    head = F.lit(f'{{"type":"{kind}","timestamp":' if kind else '{"timestamp":')
+    return F.concat(head, ts_ns.cast("string"), F.lit(',"data":'), value, F.lit("}"))
+
+
+def alert_envelope(alerts: DataFrame, json: bool = False) -> DataFrame:
+    """ts_ns and message; `json` says that the alerts' data are JSON records, which then stand in it as objects."""
+    data = F.coalesce(F.try_parse_json("data"), F.col("data").cast("variant")) if json else F.col("data")
+    body = F.struct("rule_name", "condition", F.col("ts_ns").alias("timestamp"), data.alias("data"), "store_name")
+    envelope = F.struct(F.lit("alert").alias("type"), F.col("ts_ns").alias("timestamp"), body.alias("alert"))
+    return alerts.select("ts_ns", F.to_json(envelope).alias("message"))
 
 
 def compact_aggregates(df: DataFrame, registry: SchemaRegistry) -> tuple[dict[str, str], DataFrame]:

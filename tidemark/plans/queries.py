@@ -405,7 +405,7 @@ def packing_next_fit(spark, sf_dir):
 @query(f"""with recursive {PACKED_SQL}, e as (select max(block_seq + span_count) as e from packed)
 select ts_ns, size, block_seq, "offset", span_count::bigint as span_count from packed, e where block_seq >= e - 200""")
 def retention_packed(spark, sf_dir):
-    return retention.keep_newest_blocks(retention.packed(sized_documents(spark, sf_dir), 4096), 200)
+    return retention.packed(sized_documents(spark, sf_dir), 4096, newest=200)
 
 
 @query("""select doc_id, octet_length(encode(text))::bigint as size,
@@ -448,7 +448,7 @@ select arrival, ts_ns, ts_ns > 0 and ts_ns > coalesce(seen, 0) as accepted from
 def ordering_guard(spark, sf_dir):
     late = F.when(F.col("event_id") % 7 == 3, F.lit(HOUR)).otherwise(F.lit(0))
     arrivals = events(spark, sf_dir).select(F.col("event_id").alias("arrival"), (F.col("ts_ns") - late).alias("ts_ns"))
-    return running.ordering_guard(arrivals, chunk_rows=1000)
+    return running.ordering_guard(arrivals, part_rows=1000)
 
 
 @query(f"select {ROW} from events where event_id % 10 <> 4")
@@ -511,7 +511,7 @@ def render_all_with_data(spark, sf_dir):
 select '{"type":"alert","timestamp":' || t || ',"alert":{"rule_name":"high","condition":"value > 300","timestamp":' || t || ',"data":"' || event_id || '","store_name":"events"}}' as message from a""")
 def render_alert(spark, sf_dir):
     df = events(spark, sf_dir)
-    return output.alert_envelope(alerts(df, [Rule("high", "value > 300")], F.col("event_id").cast("string"), "events"))
+    return output.alert_envelope(alerts(df, [Rule("high", "value > 300")], F.col("event_id").cast("string"), "events")).select("message")
 
 
 @query("""

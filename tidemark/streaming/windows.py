@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.timeconv import to_timestamp
 from tidemark.functions.values import is_number_type
-from tidemark.operators.aggregate import AggSpec, output_name
+from tidemark.operators.aggregate import AggSpec, output_columns, output_name, output_value
+from tidemark.operators.rules import fired
 
 
 def closed_windows(stream: DataFrame, spec: AggSpec, names: list[str], lateness: str = "0 seconds") -> DataFrame:
@@ -25,67 +28,121 @@ def closed_windows(stream: DataFrame, spec: AggSpec, names: list[str], lateness:
     width = f"{spec.window_ns // 1000} microseconds"
     timed = stream.withColumn("__ts", to_timestamp("ts_ns")).withWatermark("__ts", lateness)
     columns = [F.count(F.lit(1)).alias("record_count")]
-    for name in names:
-        value, numeric = F.col(f"`{name}`"), is_number_type(kinds[name])
-        number = value.cast("double") if numeric else F.lit(None).cast("double")
-        fns = spec.functions(name, numeric)
-        for fn in fns:
-            made = {
-                "sum": F.sum(number), "avg": F.sum(number) / F.count(value), "max": F.max(number), "min": F.min(number),
-                "count": F.count(value), "last": F.max_by(value, F.when(value.isNotNull(), F.col("ts_ns"))),
-            }[fn]
-            columns.append(made.alias(output_name(name, fn, len(fns) > 1)))
+    for name, fn, column in output_columns(spec, kinds, names):
+        columns.append(output_value(fn, F.col(f"`{name}`"), is_number_type(kinds[name]), "ts_ns").alias(column))
     grouped = timed.groupBy(F.window("__ts", width).alias("w")).agg(*columns)
     end = (F.unix_micros("w.end") * 1000).alias("window_end")
-    return grouped.select(end, F.lit(False).alias("partial"), *[c for c in grouped.columns if c != "w"])
-
-
-def flushed_windows(stream: DataFrame, window_ns: int, field: str, flush: str, store: str | None = None) -> DataFrame:
-    """Windows of one numeric field with a wall-clock flush: window_end, record_count, partial, sum, avg, max, min, last.
-
-    A window is emitted when a later record closes it, and also, as partial and with a null sum, when no record
-    has come for the time `flush`. One window end may so come more than once; a partial one does not close it.
+    return grouped.select(end, F.lit(False).alias("partial"), *[f"`{c}`" for c in grouped.columns if c != "w"])
+
+
+@dataclass
+class OpenWindow:
+    """The records of one window so far; what it emits it forgets."""
+
+    spec: AggSpec
+    numeric: dict[str, bool] | None = None
+    end: int = 0
+    n: int = 0
+    fields: dict[str, list] = field(default_factory=dict)  # functions, present, numbers, total, most, least, last
+
+    def add(self, ts_ns: int, record: dict) -> tuple | None:
+        """The window that this record closes, if it closes one."""
+        out = self.emit(False) if self.n and ts_ns >= self.end else None
+        if not self.n:
+            self.end = (ts_ns // self.spec.window_ns + 1) * self.spec.window_ns
+        self.n += 1
+        for name, value in record.items():
+            number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+            if name not in self.fields:
+                is_number = number is not None if self.numeric is None else self.numeric.get(name, False)
+                self.fields[name] = [self.spec.functions(name, is_number), 0, 0, 0.0, None, None, None]
+            f = self.fields[name]
+            f[1] += 1
+            f[6] = value
+            if number is not None:
+                f[2] += 1
+                f[3] += number
+                f[4] = number if f[4] is None else max(f[4], number)
+                f[5] = number if f[5] is None else min(f[5], number)
+        return out
+
+    def emit(self, partial: bool) -> tuple | None:
+        """(window_end, record_count, partial, data), or None if nothing came since the last time. Sums of a partial
+        window are null, as are extremes and means without numbers."""
+        if not self.n:
+            return None
+        data = {}
+        for name, (fns, present, numbers, total, most, least, last) in self.fields.items():
+            for fn in fns:
+                data[output_name(name, fn, len(fns) > 1)] = {
+                    "sum": None if partial or not numbers else total, "avg": total / present if numbers else None,
+                    "max": most, "min": least, "count": present, "last": last,
+                }[fn]
+        out = (self.end, self.n, partial, json.dumps(data, ensure_ascii=False))
+        self.n, self.fields = 0, {}
+        return out
+
+
+WINDOW_SCHEMA = "store string, window_end long, record_count long, partial boolean, data string"
+
+
+def record_windows(
+    stream: DataFrame, spec: AggSpec, flush: str | None = None, numeric: dict[str, bool] | None = None, store: str = "",
+    payload: str = "payload", run: int = 0,
+) -> DataFrame:
+    """Windows over all fields of JSON records: store, window_end, record_count, partial, data (a JSON object).
+
+    A window is emitted when a later record closes it. With `flush` (a duration) what came since the last time is
+    also emitted, as partial, each time it has passed by the wall clock; nothing is emitted twice, and an idle stream
+    emits nothing. So one window end may come more than once. `numeric` says which fields are numbers, as a schema
+    does; without it the first value of a field in a window does. Texts that are no JSON objects are no records. A
+    higher `run` starts anew instead of going on with the open window, after it was emitted at a stop.
     """
-    schema = "store string, window_end long, record_count long, partial boolean, sum double, avg double, max double, min double, last double"
-    state_schema = "window_end long, n long, present long, total double, most double, least double, last double"
+    from tidemark.functions.durations import parse_duration
 
-    def row(key: tuple, state: tuple, partial: bool) -> dict:
-        end, n, present, total, most, least, last = state
-        avg = total / present if present else None
-        return {
-            "store": key[0], "window_end": end, "record_count": n, "partial": partial, "sum": None if partial else total,
-            "avg": avg, "max": most, "min": least, "last": last,
-        }
+    flush_ms = max(1, parse_duration(flush) // 1_000_000) if flush else 0
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield pd.DataFrame([row(key, state.get, True)])
-            state.setTimeoutDuration(flush_ms)
-            return
-        held = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts_ns")
-        out = []
-        for ts, value in zip(rows["ts_ns"].tolist(), rows["value"].tolist(), strict=True):
-            end = (ts // window_ns + 1) * window_ns
-            if held is None or end > held[0]:
-                if held is not None:
-                    out.append(row(key, held, False))
-                held = (end, 0, 0, 0.0, None, None, None)
-            e, n, present, total, most, least, last = held
-            if value is not None and value == value:
-                held = (e, n + 1, present + 1, total + value, value if most is None else max(most, value), value if least is None else min(least, value), value)
-            else:
-                held = (e, n + 1, present, total, most, least, last)
-        state.update(held)
-        state.setTimeoutDuration(flush_ms)
+        now = state.getCurrentProcessingTimeMs()
+        held = json.loads(state.get[0]) if state.exists else {"run": -1}
+        window, due, out = OpenWindow(spec, numeric), 0, []
+        if held["run"] == run:
+            window.end, window.n, window.fields, due = held["end"], held["n"], held["fields"], held["due"]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values("ts_ns", kind="stable")
+            for ts, text in zip(rows["ts_ns"].tolist(), rows["payload"].tolist(), strict=True):
+                try:
+                    record = json.loads(text) if text is not None else []
+                except ValueError:
+                    continue
+                if record is None or isinstance(record, dict):
+                    if flush_ms and not window.n:
+                        due = now + flush_ms
+                    out.append(window.add(ts, record or {}))
+        if flush_ms and window.n and now >= due:
+            out.append(window.emit(True))
+        state.update((json.dumps({"run": run, "end": window.end, "n": window.n, "fields": window.fields, "due": due}),))
+        if flush_ms and window.n:
+            state.setTimeoutDuration(max(1, due - now))
+        out = [(key[0], *x) for x in out if x is not None]
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, columns=["store", "window_end", "record_count", "partial", "data"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if flush_ms else GroupStateTimeout.NoTimeout
+    keyed = stream.select(F.lit(store).alias("store"), "ts_ns", F.col(payload).cast("string").alias("payload"))
+    return keyed.groupBy("store").applyInPandasWithState(step, WINDOW_SCHEMA, "held string", "append", timeout)
 
-    from tidemark.functions.durations import parse_duration
 
-    flush_ms = max(1, parse_duration(flush) // 1_000_000)
-    keyed = stream.select((F.col(store) if store else F.lit("")).alias("store"), "ts_ns", F.col(field).cast("double").alias("value"))
-    return keyed.groupBy("store").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def open_windows(states: DataFrame, spec: AggSpec, run: int = 0) -> list[tuple]:
+    """What record_windows() of a stopped query still holds, as partial windows: (store, window_end, record_count,
+    partial, data). states is the query's state read back; it has one row a store."""
+    out = []
+    for r in states.collect():
+        held = json.loads(r["held"])
+        window = OpenWindow(spec, None, held["end"], held["n"], held["fields"])
+        if held["run"] == run and (emitted := window.emit(True)):
+            out.append((r["store"], *emitted))
+    return out
 
 
 def stream_cooldown(alerts: DataFrame) -> DataFrame:
@@ -94,12 +151,7 @@ def stream_cooldown(alerts: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("ts_ns", kind="stable")
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t, cooldown in zip(rows["ts_ns"].tolist(), rows["cooldown_ns"].tolist(), strict=True):
-            fired = last is None or t - last >= cooldown
-            keep.append(fired)
-            last = t if fired else last
+        keep, last = fired(rows["ts_ns"].to_numpy(), int(rows["cooldown_ns"].iloc[0]), state.get[0] if state.exists else None)
         state.update((last,))
         yield rows[keep][columns]
 
