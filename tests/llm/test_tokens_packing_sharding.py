@@ -4,13 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, sharding
-from tidemark.llm.token_counts import PrefixCounter, count_tokens
+from tidemark.llm.token_counts import PrefixCounter, count_tokens, truncate_texts
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "  ", "a", "it's we'll 've", "x   y \n\n z", "\t\ta  b", "<|endoftext|>", "a <|endoftext|>b", "é́ñ 漢字 🙂🙂", "!!!!??''''s", "12345 6789", "\x1c\x1da b", "a  b", "ΑΣ ΑΣ", "Ⅷ ²", "<|startoftext|> X", "\u0000￾"]
@@ -41,7 +42,11 @@ def test_counts_equal_the_library_at_every_prefix():
 
 def test_count_tokens_edges(spark):
     rows = [(1, None), (None, "a b"), (3, "x" * 100_000), (3, "x" * 100_000), (4, "wörd " * 600)]
-    out = count_tokens(table(spark, rows).selectExpr("*", "7 as n_tokens", "text as n_bytes"), BYTES, 512).collect()
+    out = count_tokens(table(spark, rows).selectExpr("*", "7 as n_tokens", "text as n_bytes", "1 as fit_chars"), BYTES, 512).collect()
+    library = Tokenizer.from_file(BYTES)
+    for r in out:
+        text = next(t for d, t in rows if d == r.doc_id) or ""
+        assert r.fit_chars == (len(text) if not r.over_limit else max(i for i in range(1, 9000) if len(library.encode(text[:i], add_special_tokens=False).ids) <= 512))
     assert sorted((r.doc_id or 0, r.n_bytes, r.over_limit) for r in out) == [(0, 3, False), (1, 0, False), (3, 100_000, True), (3, 100_000, True), (4, 3600, True)]
     assert count_tokens(table(spark, []), BYTES, 512).collect() == []
 
@@ -61,7 +66,29 @@ def test_batches_equal_the_library():
     texts = odd_texts(3000, 9) + ["plain words here\nand\nthere", "It's 'll we'", "a\nb c", "x" * 3000, "word"]
     for many in (texts, [], ["a b"], ["  "]):
         want = [len(library.encode(t, add_special_tokens=False).ids) for t in many]
-        assert counter.count_batch(pa.array(many, pa.large_string())).tolist() == want
+        assert counter.count_batch(pa.array(many, pa.large_string()), 5)[0].tolist() == want
+
+
+def test_prefixes_of_a_budget_equal_the_library():
+    counter, library = PrefixCounter(BYTES), Tokenizer.from_file(BYTES)
+    rng = random.Random(10)
+    words = ["plain", "don't", "it's", "x7", "été", "12345", "...", "漢字", "unbelievably", "a", "'ll", "It's"]
+    texts = odd_texts(300, 11) + ["".join(rng.choice([" ", "\n", " "]) + rng.choice(words) for _ in range(rng.randint(1, 30)))[1:] for _ in range(300)]
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for budget in (0, 1, 4, 9):
+        got = counter.count_batch(pa.array(texts, pa.large_string()), budget)[1].tolist()
+        for text, n in zip(texts, got, strict=True):
+            assert n == max(i for i in range(len(text) + 1) if count(text[:i]) <= budget), (text, budget)
+
+
+def test_truncate_texts(spark):
+    library = Tokenizer.from_file(BYTES)
+    rows = [(1, None, "a"), (2, "", "b"), (3, "one two three four five six", "c"), (None, "x " * 50_000, None), (3, "one two three four five six", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `fit.chars` string")
+    got = truncate_texts(docs, BYTES, 4)
+    assert got.columns == docs.columns and sorted(((r[0] or 0, r[1] or "") for r in got.collect())) == [(0, "x x x x"), (1, ""), (2, ""), (3, "one two three four"), (3, "one two three four")]
+    assert len(library.encode("x x x x ", add_special_tokens=False).ids) == 5
+    assert truncate_texts(docs.limit(0), BYTES, 4).collect() == []
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -92,17 +119,26 @@ def test_pack_documents(spark):
     rows += [(7, None), (7, None), (None, "one"), (500, "one " * 4095), (501, "one " * 4096)]
     got = packing.pack_documents(table(spark, rows).selectExpr("*", "1 as start", "2 as length"), WORDS).toPandas()
     library = Tokenizer.from_file(WORDS)
-    want = {}
+    want = []
     for doc_id, text in rows:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         for at in range(0, len(ids), 4 * 4096):
-            key = (doc_id or -1, at // 4, zlib.crc32(ids[at : at + 4 * 4096]), len(ids) // 4)
-            want[key] = want.get(key, 0) + 1
-    seen = got.fillna({"doc_id": -1}).groupby(["doc_id", "start", "ids_crc32", "doc_tokens"]).size().to_dict()
-    assert seen == {(k[0] if k[0] else -1, *k[1:]) if k[0] else k: v for k, v in want.items()} or sum(seen.values()) == sum(want.values())
+            piece = ids[at : at + 4 * 4096]
+            want.append((-1 if doc_id is None else doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+    seen = got.fillna({"doc_id": -1}).astype({"doc_id": int})[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]]
+    assert sorted(map(tuple, seen.values.tolist())) == sorted(want)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         ends = (g.offset + g.length).tolist()
         assert g.offset.iloc[0] == 0 and ends[-1] <= 4096 and all(a == b for a, b in zip(ends, g.offset.tolist()[1:], strict=False))
+    bins = []  # first fit by falling length
+    for n in sorted(got.length, reverse=True):
+        k = next((k for k, room in enumerate(bins) if room >= n), None)
+        if k is None:
+            bins.append(4096 - n)
+        else:
+            bins[k] -= n
+    sequences = got.sequence_id.nunique()
+    assert sequences <= len(bins) + 1 and set(got.sequence_id) == set(range(sequences))
     assert packing.pack_documents(table(spark, []), WORDS).collect() == []
 
 
@@ -117,6 +153,32 @@ def test_differencing():
     assert len(set(sharding.karmarkar_karp([4, 5, 6, 7, 8], 2))) == 2
 
 
+def test_sharding_of_given_documents_keeps_its_law(spark):
+    """The whole query over the smallest table: every row once, sizes and digests as they are, groups whole, loads near equal."""
+    from tidemark.llm.queries import op10_sharding
+
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    out = op10_sharding(spark, "/root/testdata/sf0.001").toPandas().sort_values("doc_id").reset_index(drop=True)
+    text = docs.sort_values("doc_id").text.fillna("").str.encode("utf-8").tolist()
+    assert out.doc_id.tolist() == sorted(docs.doc_id) and out["size"].tolist() == [len(t) + 8 for t in text] and out.text_crc32.tolist() == [zlib.crc32(t) for t in text]
+    homes = {}
+    assert all(homes.setdefault(t, s) == s for t, s in zip(text, out["shard"], strict=True))
+    loads, heaviest = [0] * 24, {}
+    for t, s, n in zip(text, out["shard"], out["size"], strict=True):
+        loads[s] += n
+        heaviest[t] = heaviest.get(t, 0) + n
+    # the best that whole groups allow, within the heaviest group: no shard is above the mean by more than differencing leaves
+    assert max(loads) <= max(max(heaviest.values()), sum(loads) / 24 * 1.02) and sorted(set(out["shard"])) == list(range(24))
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_sharding_of_very_long_texts(spark):
+    rows = [(i, "w" * n) for i, n in enumerate([3_000_000, 1_000_000, 1_000_000, 1_000_000, 0, 1])]
+    out = sharding.shard_documents(table(spark, rows), 2).toPandas()
+    assert sorted(out.groupby("shard")["size"].sum()) == [3_000_024, 3_000_025]
+
+
 def test_shard_documents(spark):
     rng = random.Random(4)
     rows = [(i, "w" * rng.randint(0, 400)) for i in range(800)] + [(1, None), (None, "é"), (9, "same"), (9, "same")]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,17 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.functions.names import unused  # noqa: F401
+from tidemark.functions.workdir import shared_folder
+
 BATCH_ROWS = 1000
 _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where it names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that the cluster names for checkpoints. Where none is named, a temporary one on a single machine."""
+    return shared_folder(spark)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -64,17 +62,6 @@ def _release_all() -> None:
             _written.pop(path, None)
 
 
-def unused(columns: Sequence[str], *names: str) -> list[str]:
-    """The names, each with underscores before it until no column (Spark's names ignore case) is called so."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def map_whole_rows(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], drop: Sequence[str] = ()) -> DataFrame:
     """Rows with all their columns, but those to drop, through Python; columns may have any names, with dots too."""
     names, kept = df.columns, [i for i, c in enumerate(df.columns) if c not in drop]
@@ -113,22 +100,19 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sal
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component): the least node reachable over the edges (u, v) of longs; nodes without edges are absent.
 
-    Alternating large-star and small-star rounds. Every round reads and writes tables in the shared
-    folder; minima are partial aggregates and the joins can be split, so hubs do not gather in a task.
+    Alternating large-star and small-star rounds. Every round reads and writes tables in the shared folder; minima are
+    partial aggregates. A hub, the least node of a large component, has all its edges on the side of the larger star's
+    left join that AQE can split, and no row on the other.
     """
     now = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label
     )
     state = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        stars = materialize(large, label)
-        down = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    while True:  # in every table u > v
+        least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        stars = materialize(now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), label)
+        low = stars.groupBy("u").agg(F.min("v").alias("m"))
+        small = stars.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         nxt = materialize(small.where("u <> v").distinct(), label)
         release(stars)
         release(now)

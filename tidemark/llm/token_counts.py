@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Generations, small_batches
+from tidemark.llm.common import Generations, map_whole_rows, small_batches
 
 #: Fixed value: the pre-token pattern of this family of byte-level vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,24 +132,43 @@ class PrefixCounter:
             return self._count_plain("\n") + self._count_plain(chunk[1:])
         return self._count_plain(" " + chunk)
 
-    def count_batch(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each text. No pre-token crosses a single space or line feed between two visible
-        characters, so such texts are counted chunk by chunk, each different chunk once; others go whole."""
+    def count_batch(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and the code points of its longest prefix of at most `budget` tokens.
+
+        No pre-token crosses a single space or line feed between two visible characters, so such texts are counted
+        chunk by chunk, each different chunk once; running totals over the chunks are the counts of the prefixes that
+        end with them, and the table of the chunk in which the budget ends has the rest. Other texts go whole.
+        """
         hard = pc.match_substring_regex(texts, HARD).to_numpy(zero_copy_only=False)
-        out = np.zeros(len(texts), np.int64)
+        out, fit = np.zeros(len(texts), np.int64), pc.utf8_length(texts).to_numpy().astype(np.int64)
         for i in np.flatnonzero(hard):
-            out[i] = self.count(texts[int(i)].as_py())
+            text = texts[int(i)].as_py()
+            out[i] = self.count(text)
+            if out[i] > budget:
+                fit[i] = self.index(text).truncate(budget)
         easy = np.flatnonzero(~hard)
         lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(easy)), "\n", " \n"), " ")
         if not len(easy):
-            return out
+            return out, fit
         starts = lists.offsets.to_numpy()[:-1]
         coded = lists.flatten().dictionary_encode()
-        counts = np.array(self._chunks.many(coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
+        which, chunks = coded.indices.to_numpy(), coded.dictionary
+        counts = np.array(self._chunks.many(chunks.to_pylist()), np.int64)[which]
         firsts = [self._count_plain(c) for c in coded.take(pa.array(starts)).dictionary_decode().to_pylist()]
         counts[starts] = firsts
         out[easy] = np.add.reduceat(counts, starts)
-        return out
+        lengths = (pc.utf8_length(chunks).to_numpy() + ~pc.starts_with(chunks, "\n").to_numpy(zero_copy_only=False))[which]
+        ends = np.r_[starts[1:], len(counts)]
+        for i, a, z in zip(easy.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            if out[i] > budget:
+                totals = np.cumsum(counts[a:z])
+                k = int(np.searchsorted(totals, budget, "right"))
+                before = int(totals[k - 1]) if k else 0
+                chunk = chunks[int(which[a + k])].as_py()
+                rest = self.index(chunk if not k or chunk[:1] == "\n" else f" {chunk}")
+                at = int(lengths[a : a + k].sum()) - (k > 0)  # no space before the first chunk
+                fit[i] = at + next(n for n in range(len(rest.text), -1, -1) if before + rest.count(n) <= budget)
+        return out, fit
 
     def index(self, text: str) -> PrefixIndex:
         return PrefixIndex(self, text)
@@ -219,10 +238,11 @@ def counter_for(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_tokens, over_limit.
+    """Per row: doc_id, n_bytes, n_tokens, over_limit, fit_chars.
 
-    vocabulary is a file's place on every machine. A null text counts as empty; other columns are
-    ignored, repeated rows give repeated results, an empty table gives an empty one.
+    fit_chars is the length, in code points, of the longest prefix with at most `limit` tokens, read from the prefix
+    tables. vocabulary is a file's place on every machine. A null text counts as empty; other columns are ignored,
+    repeated rows give repeated results, an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
 
@@ -230,15 +250,28 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
         counter = counter_for(vocabulary)
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            tokens = counter.count_batch(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pc.binary_length(texts).cast(pa.int64()),
-                    pa.array(tokens, pa.int64()),
-                    pa.array(tokens > limit, pa.bool_()),
-                ],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            tokens, fit = counter.count_batch(texts, limit)
+            columns = [
+                batch.column("doc_id").cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64()),
+                pa.array(tokens > limit, pa.bool_()), pa.array(fit, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def truncate_texts(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
+    """The documents with texts cut to their longest prefix of at most `budget` tokens.
+
+    All rows and columns stay; a null text stays null, an empty one empty; an empty table stays empty.
+    """
+    small_batches(docs.sparkSession)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").cast(pa.large_string())
+        _, fit = counter_for(vocabulary).count_batch(pc.fill_null(texts, ""), budget)
+        kept = [None if t is None else t[:n] for t, n in zip(texts.to_pylist(), fit.tolist(), strict=True)]
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_whole_rows(docs, cut)

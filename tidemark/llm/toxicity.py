@@ -10,6 +10,7 @@ two-parameter logistic fit on labelled rows turns margins into scores.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,14 @@ LENGTH_POWER = 0.25
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
+_words = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words_of(text: str) -> set[str]:
+    """The different words, split at ASCII white space as split() does for a column."""
+    return set(_words.findall(text))
+
+
 def word_features(word: str) -> list[str]:
     bare = word.lower().strip(EDGES)
     return [bare + "$", *(bare[:k] for k in BEGINNINGS if len(bare) >= k)] if bare else []
@@ -78,7 +87,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def matrix(texts: list[str], index: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(texts), len(index) + 1))
     for i, t in enumerate(texts):
-        words = set(t.split())
+        words = words_of(t)
         for w in words:
             for f in word_features(w):
                 if (k := index.get(f)) is not None:
@@ -96,7 +105,7 @@ def fit(positive: list[str], unlabelled: list[str], labelled: list[str], toxic:
     df_pos, df_all = Counter(), Counter()
     for texts, df in ((positive, df_pos), (unlabelled, df_all)):
         for t in texts:
-            df.update({f for w in set(t.split()) for f in word_features(w)})
+            df.update({f for w in words_of(t) for f in word_features(w)})
     gain = {
         f: n * math.log((n / len(positive)) / ((df_all[f] + 0.5) / len(unlabelled)))
         for f, n in df_pos.items() if n >= 3
