@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_near_dedup import brute_components
 from tidemark.llm import alike_texts as at
+from tidemark.llm import near_dedup
 
 
 def exact(a, b, width=5):
@@ -79,10 +80,10 @@ def test_roots_hold_against_brute_force(spark, monkeypatch):
     outlines = spark.createDataFrame(rows, "node long, fp long, sketch binary")
     want = brute_components(range(150), lambda a, b: (values[a] ^ values[b]).bit_count() <= 8 and (sketches[a] ^ sketches[b]).bit_count() <= 10)
     groups = {frozenset(k for k in want if want[k] == c) for c in set(want.values())}
-    for heavy, keys in ((3, at.BROADCAST_KEYS), (3, 0), (at.HEAVY, at.BROADCAST_KEYS)):
-        monkeypatch.setattr(at, "BROADCAST_KEYS", keys)
+    for heavy, keys in ((3, near_dedup.BROADCAST_KEYS), (3, 0), (at.HEAVY, near_dedup.BROADCAST_KEYS)):
+        monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", keys)
         got = {}
-        for r in at.alike_roots(outlines, 8, 8, 10, heavy=heavy).collect():
+        for r in at.roots_of(outlines, at.candidate_links(outlines, 8, 8, 10, heavy=heavy)).collect():
             got.setdefault(r.root, set()).add(r.node)
         assert {frozenset(g) for g in got.values()} == groups
 
@@ -147,8 +148,9 @@ def test_links_are_exactly_those_of_the_similarity(spark, monkeypatch):
     want = brute_components(range(len(texts)), lambda a, b: exact(texts[a], texts[b]) >= 0.8)
     assert 20 < len(set(want.values())) < 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (at.BLOCK, 4):
+    for block, small in ((at.BLOCK, at.SMALL), (4, 1000), (4, 2)):
         monkeypatch.setattr(at, "BLOCK", block)
+        monkeypatch.setattr(at, "SMALL", small)
         assert sorted(r.doc_id for r in at.keep_first_alike(docs).collect()) == sorted(set(want.values()))
 
 
@@ -156,6 +158,7 @@ def test_exact_similarity_at_the_limit():
     a, sketches = np.arange(100, dtype=np.uint64), np.zeros((2, 4), np.uint64)
     for size, links in ((80, [(0, 1)]), (79, [])):
         assert at.exact_links([a, a[:size]], sketches, 0.8, 50) == links
+        assert at.exact_links([a, a[:size]], sketches, 0.8, 50, np.array([5, 5])) == []
     assert at.exact_links([a, a[:0]], sketches, 0.8, 50) == [] == at.exact_links([a, a + np.uint64(100)], sketches, 0.8, 50)
 
 
@@ -167,5 +170,32 @@ def test_cut_shards_hold_the_links_of_uncut_ones(spark):
         for k, x in enumerate((v, v ^ sum(1 << b for b in rng.sample(range(64), 9 + i % 4)))):
             rows.append((2 * i + k, x - (1 << 64) if x >> 63 else x, bytes(32)))
     outlines = spark.createDataFrame(rows, "node long, fp long, sketch binary")
-    roots = lambda heavy: sorted(at.alike_roots(outlines, 12, 8, 0, heavy=heavy).collect())
+    roots = lambda heavy: sorted(at.roots_of(outlines, at.candidate_links(outlines, 12, 8, 0, heavy=heavy)).collect())
     assert roots(0) == roots(at.HEAVY)
+
+
+def test_a_large_group_of_copies_does_not_meet_pair_by_pair(spark, monkeypatch):
+    """A crowd of near copies is confirmed by about two links a text; strays at 0.75 of it are left out."""
+    monkeypatch.setattr(at, "BLOCK", 20)
+    monkeypatch.setattr(at, "SMALL", 1)
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(base + [f"own{i}"])) for i in range(300)] + [(500 + i, " ".join(base[:114] + [f"far{i}"])) for i in range(5)]
+    counted = spark.sparkContext.accumulator(0)
+    plain = at.alike
+
+    def counting(*args):
+        counted.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(at, "alike", counting)
+    kept = {r.doc_id for r in at.keep_first_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert exact(rows[0][1], rows[300][1]) < 0.8 < exact(rows[300][1], rows[301][1]) and kept == {0, 500}
+    assert 300 < counted.value < 300 * 12
+
+
+def test_clashing_columns(spark):
+    names = ["__d", "__k", "of_doc", "of_row", "node", "root", "sketch", "m", "r"]
+    docs = spark.createDataFrame([(1, "a b c", *names), (2, "A b c", *names), (None, None, *names)], "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    got = at.keep_first_alike(docs)
+    assert got.schema == docs.schema and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1]

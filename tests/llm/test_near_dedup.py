@@ -90,6 +90,10 @@ def test_crowded_shards_are_cut_without_losing_links(spark):
         values.add(v)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     got = nd.fingerprint_components(spark.createDataFrame([(v,) for v in signed], "fp long"), heavy=3).collect()
+    masks = nd.block_masks(list(range(64)), 5, 2)
+    rows = spark.createDataFrame([(v,) for v in signed], "fp long")
+    keys = [nd.shards(rows, masks, 3, 3, levels).groupBy("key").count().agg({"count": "max"}).first()[0] for levels in (0, 1, 2, 3)]
+    assert keys[0] > keys[3] and keys == sorted(keys, reverse=True)  # crowded shards are cut again
     want = brute_components(sorted(signed), lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3)
     groups = {}
     for r in got:
@@ -104,3 +108,18 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{200 + i: 200 for i in range(40)}, 399: 399, 400: 399}
     assert connected_components(spark.createDataFrame([], "u long, v long").where(F.lit(True))).count() == 0
+
+
+def test_query_over_the_given_documents(spark):
+    import pandas as pd
+
+    from tidemark.llm.queries import op7_near_dedup
+
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    fps = {d: brute_fingerprint(t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    label = brute_components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    least = {}
+    for d, f in fps.items():
+        least[label[f]] = min(d, least.get(label[f], d))
+    want = sorted((d, f"{f:016x}", least[label[f]]) for d, f in fps.items())
+    assert sorted(map(tuple, op7_near_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect())) == want

@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from tidemark.llm import chunk_fingerprints as cf
 from tidemark.llm import decontamination as dc
-from tidemark.llm import html_text, near_dedup, quality, toxicity
+from tidemark.llm import html_text, quality, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=x>Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy this now, a long text of an advert.</div>
@@ -163,6 +166,19 @@ def test_leaks_equal_brute_force():
     assert got == want
 
 
+def test_items_with_a_common_beginning_and_few_hits_at_once(monkeypatch):
+    """Many items share their seeds; hits are looked at a few at a time."""
+    rng = random.Random(12)
+    prompt = "choose the right answer to the question that follows here: "
+    items = [prompt + " ".join(rng.choice("abcdefgh") * 4 for _ in range(6)) for _ in range(40)]
+    texts = [prompt * 30 + items[3][len(prompt) :], items[5], "x " + damaged(rng, items[9], 3), prompt]
+    want = {(i, k): least_edits(dc.fold(item), dc.fold(t)) for i, t in enumerate(texts) for k, item in enumerate(items)}
+    want = {p: e for p, e in want.items() if e <= dc.budget(len(dc.fold(items[p[1]])))}
+    for hits in (1, 7, dc.HITS):
+        monkeypatch.setattr(dc, "HITS", hits)
+        assert {(i, k): e for i, k, _, _, e in dc.Items(list(enumerate(items))).leaks(texts)} == want
+
+
 def test_find_and_drop_leaks(spark):
     item = "the quick brown fox jumps over the lazy dog and then it sleeps in the sun for an hour or two"
     rows = [(1, f"intro {item.upper()} outro", "x"), (2, "nothing here at all", None), (None, item.replace("quick", "quack"), "y"), (3, None, "z"), (3, None, "z"), (4, "a " * 60_000 + item, "w")]
@@ -253,16 +269,50 @@ def test_empty_text_features():
     assert len(x) == 6 and size.tolist() == [0, 1, 0, 3, 0, 0] and bounds.tolist() == [0, 1, 4, 6]
 
 
-def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
+def shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def first_of_each_group(texts):
+    """The smallest id of each chain of texts with five-word similarity 0.8 or more; texts without words are alike."""
+    sets, label = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {d: x if c == y else c for d, c in label.items()}
+    return set(label.values())
+
+
+def cut_of_repeats(texts, width=50):
+    """The words of each text that no window which also starts in a smaller id covers."""
+    words, least = {d: (t or "").split() for d, t in texts.items()}, {}
+    for d, w in words.items():
+        for p in range(len(w) - width + 1):
+            least[tuple(w[p : p + width])] = min(d, least.get(tuple(w[p : p + width]), d))
+    gone = {d: {i for p in range(len(w) - width + 1) if least[tuple(w[p : p + width])] < d for i in range(p, p + width)} for d, w in words.items()}
+    return {d: [x for i, x in enumerate(w) if i not in gone[d]] for d, w in words.items()}
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     import corpus_pipeline
 
     rows, labels = synthetic(90, 8)
     rows = [(d, f"{t} unique{d} tail{d} word{d * 7}") for d, t in rows]
-    passage = " ".join(f"p{i}" for i in range(70))
-    rows += [(500, passage + " and own words"), (501, "other start " + passage), (502, rows[3][1]), (503, "see the benchmark item that everybody knows by heart here"), (504, None)]
+    good = [d for d, q, _ in labels if q]
+    passage, item = " ".join(f"p{i}" for i in range(70)), "the benchmark item that everybody knows by heart"
+    rng = random.Random(9)
+    tail = " ".join(f"q{i}" for i in range(60))
+    rows += [(500, passage + " and own words"), (501, f"other start {passage} {tail}"), (502, rows[good[0]][1]), (503, f"see {item} here"), (504, None), (504, None), (505, "")]
+    for k in range(6):  # near copies: a word more at the end, or one in the middle
+        w = rows[good[k]][1].split()
+        rows.append((510 + k, " ".join([*w, "more"] if k % 2 else [*w[:2], f"x{k}", *w[3:]])))
+    rows += [(530, "see " + damaged(rng, item, 3) + " here"), (531, "the word benchmark is by no means an item")]
     spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "the benchmark item that everybody knows by heart")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -272,11 +322,33 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
             assert out.columns == docs.columns
             docs = spark.read.parquet(f"{tmp_path}/{name}")
             seen[name] = {r.doc_id: r.text for r in docs.collect()}
-    assert not {d for d, q, _ in labels if not q} & seen["quality"].keys() and {d for d, q, _ in labels if q} <= seen["quality"].keys()
-    assert 3 not in {d for d, q, _ in labels if q} or (502 not in seen["near_dedup"] and 3 in seen["near_dedup"])
-    fps = {d: near_dedup.fingerprint(t or "", 3) for d, t in seen["quality"].items()}
-    assert set(fps.values()) == {fps[d] for d in seen["near_dedup"]} or len(seen["near_dedup"]) < len(fps)
-    assert seen["substring_dedup"][501] == "other start" and seen["substring_dedup"][500] == passage + " and own words"
-    assert 503 in seen["substring_dedup"] and 503 not in seen["decontamination"]
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in packed} == seen["decontamination"].keys()
+    assert not {d for d, q, _ in labels if not q} & seen["quality"].keys() and set(good) <= seen["quality"].keys()
+    assert seen["near_dedup"].keys() == first_of_each_group(seen["quality"])
+    assert {d: (t or "").split() for d, t in seen["substring_dedup"].items()} == cut_of_repeats(seen["near_dedup"])
+    assert seen["substring_dedup"][501] == f"other start\n{tail}" and seen["substring_dedup"][500] == passage + " and own words"
+    held = lambda t: least_edits(dc.fold(item), dc.fold(t)) <= dc.budget(len(dc.fold(item)))
+    assert seen["decontamination"].keys() == {d for d, t in seen["substring_dedup"].items() if not held(t)}
+    assert 503 in seen["substring_dedup"] and 503 not in seen["decontamination"] and 531 in seen["decontamination"]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    ids = {d: t for d, t in seen["decontamination"].items()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = packed.groupby("doc_id").length.sum().to_dict()
+    assert {d: n for d, n in lengths.items() if d != 504} == {d: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in ids.items() if d != 504}
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    """Nulls in every column, repeated rows, clashing extra columns, no rows at all."""
+    import corpus_pipeline
+
+    names = ["score", "held_out", "fp", "node", "__starts", "key", "offset"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(1, "one two three", *names), (1, "one two three", *names), (None, None, *[None] * len(names)), (2, "", *names), (None, "only words " * 4000, *names)]
+    docs, data = spark.createDataFrame(rows, schema), "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        assert stage(spark, docs.limit(0), data).collect() == []
+        got = out.collect()
+        if name != "packing":
+            assert out.schema.names == docs.schema.names and {r.doc_id for r in got} <= {1, 2, None}
+        if name in ("substring_dedup", "decontamination"):
+            assert sorted(map(str, got)) == sorted(map(str, docs.collect()))

@@ -10,7 +10,9 @@ too where a band of minima of their five-word shingles agrees, which depends on
 A sketch of the five-word shingles, 256 one-bit minima of which a fraction (1 - similarity) / 2 differ on
 average, travels with the fingerprint and drops candidates far from alike where they are found. What is left
 proposes groups. In each the texts meet again, and only pairs whose different five-word shingles really have the
-similarity link. A group is larger than what its links join, so no link is missed for one that failed.
+similarity link. A group is larger than what its links join, so no link is missed for one that failed: in small
+groups all texts meet; in large ones each text first meets two of its candidates, for some rounds, and only texts
+that are then still apart from the body of their group meet all of it.
 
 A shard's BK-tree is cut by integer Hamming distance to pivots down to leaves that are compared as arrays.
 Queries go down in blocks, along edges within the radius. A leaf that lies in one component drops the
@@ -27,19 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, small_batches
-from tidemark.llm.near_dedup import block_masks
+from tidemark.llm.common import connected_components, materialize, small_batches, spread, unused
+from tidemark.llm.near_dedup import block_masks, shards
 
 SKETCH_BITS = 256
 #: Texts of similarity 0.8 agree in none of 24 bands of 4 minima once in 300,000 pairs, wherever their edits lie.
 BANDS, BAND = 24, 4
 #: Texts of similarity 0.8 differ in 25.6 of 256 bits, give or take 4.8: over five times that is allowed.
 SKETCH_SLACK = 25
-#: A group of more texts is compared block against block, each pair of blocks in a task of its own.
-BLOCK = 1000
+#: Texts are compared block against block, each pair of blocks in a task of its own. Groups of at most SMALL blocks
+#: are compared whole, so no text is sent more than SMALL times; larger ones link by candidates in ROUNDS first.
+BLOCK, SMALL, ROUNDS = 1000, 4, 3
 LEAF, QUERIES, HEAVY = 512, 64, 20_000
-#: Keys of crowded shards (8 bytes each) are sent to all tasks up to this count.
-BROADCAST_KEYS = 500_000
 _random = np.random.default_rng(20)
 _FLIPS = _random.integers(0, 1 << 32, SKETCH_BITS, dtype=np.uint32)[:, None]
 _FACTORS = (_random.integers(0, 1 << 31, SKETCH_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -178,7 +179,7 @@ def tree_links(values: np.ndarray, sketches: np.ndarray, radius: int, limit: int
     return links
 
 
-def shard_links(shards: DataFrame, radius: int, limit: int) -> DataFrame:
+def shard_links(dealt: DataFrame, radius: int, limit: int) -> DataFrame:
     """Spanning links (u, v) of each shard of key, node, fp and sketch; dealt and sorted by key here."""
 
     def links_of(key: np.ndarray, node: np.ndarray, fp: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
@@ -208,108 +209,176 @@ def shard_links(shards: DataFrame, radius: int, limit: int) -> DataFrame:
                 continue
             got = pa.Table.from_batches([batch])
             sk = np.frombuffer(b"".join(got["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-            held.append((got["key"].to_numpy(), got["node"].to_numpy(), got["fp"].to_numpy().view(np.uint64), sk))
-            if sum(len(h[0]) for h in held) < 20_000:
-                continue
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard may go on
-            held = [tuple(c[last:] for c in cols)]
+            rows = (got["key"].to_numpy(), got["node"].to_numpy(), got["fp"].to_numpy().view(np.uint64), sk)
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shard may go on
             if last:
-                yield links_of(*(c[:last] for c in cols))
+                yield links_of(*(np.concatenate(c) for c in zip(*held, tuple(c[:last] for c in rows), strict=True)))
+                held = []
+            held.append(tuple(c[last:] for c in rows))
         if held:
             yield links_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return shards.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
 
 
-def alike_roots(outlines: DataFrame, radius: int, sure: int, limit: int, agree: int = 2, heavy: int = HEAVY) -> DataFrame:
-    """(node, root) for every different outline of columns node, fp, sketch: links reach all that share a root.
+def candidate_links(outlines: DataFrame, radius: int, sure: int, limit: int, agree: int = 2, heavy: int = HEAVY) -> DataFrame:
+    """(u, v): links that span what is alike among the different outlines of columns node, fp, sketch, by their sketches.
 
     No link within `sure` bits is lost; of those up to `radius` bits, the ones whose fingerprints meet in a shard.
-    Crowded shards are cut by radius + 1 runs of their other bits, so whatever met in one still meets.
-    With a column `bands`, outlines that share a band key are linked by their sketches alone, however far apart
-    their fingerprints are.
+    Crowded shards are cut by runs of their other bits, so whatever met in one still meets. With a column `bands`,
+    outlines that share a band key are linked by their sketches alone, however far apart their fingerprints are.
     """
     banded = "bands" in outlines.columns
-    masks = block_masks(list(range(64)), sure + agree, agree)
-    finer = [block_masks([b for b in range(64) if not m >> b & 1], radius + 1, 1) for m in masks]
     firsts = [F.first(c).alias(c) for c in ("fp", "sketch", *(["bands"] if banded else []))]
     different = materialize(outlines.groupBy("node").agg(*firsts), "outlines")
-    choice = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask")
-    dealt = different.select("*", choice).select("node", "fp", "sketch", "t", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    counts = different.select("fp", choice).groupBy(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")).count()
-    crowded = materialize(counts.where(F.col("count") > heavy).select("key"), "crowded-shards")
-    if crowded.count() <= BROADCAST_KEYS:  # else both joins shuffle
-        crowded = F.broadcast(crowded)
-    light = dealt.join(crowded, "key", "left_anti").select("key", "node", "fp", "sketch")
-    again = F.posexplode(F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in finer]), F.col("t") + 1)).alias("s", "mask")
-    cut = dealt.join(crowded, "key", "left_semi").select("key", "node", "fp", "sketch", again)
-    cut = cut.select(F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "node", "fp", "sketch")
-    links = shard_links(light.union(cut), radius, limit)
+    masks = block_masks(list(range(64)), sure + agree, agree)
+    links = shard_links(shards(different.select("node", "fp", "sketch"), masks, radius, heavy), radius, limit)
     if banded:
         links = links.union(shard_links(different.select(F.explode("bands").alias("key"), "node", "fp", "sketch"), 64, limit))
+    return materialize(links.distinct(), "candidate-links")
+
+
+def roots_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) for every node: links reach all that share a root."""
     found = connected_components(links).withColumnRenamed("component", "root")
-    return different.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
 
+def exact_links(sets: list[np.ndarray], sketches: np.ndarray, similarity: float, limit: int, home: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (positions) that span the components of these sets of hashes under Jaccard similarity.
 
-def exact_links(sets: list[np.ndarray], sketches: np.ndarray, similarity: float, limit: int) -> list[tuple[int, int]]:
-    """Links (positions) that span the components of these sets of hashes under Jaccard similarity."""
-    boss, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    Sets of one `home` are known to be linked already.
+    """
+    boss = np.arange(len(sets)) if home is None else np.unique(home, return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
     links: list[tuple[int, int]] = []
     for b in range(1, len(sets)):
-        off = bits_apart(sketches[:b], sketches[b]).sum(axis=1)
-        fits = np.minimum(sizes[:b], sizes[b]) >= similarity * np.maximum(sizes[:b], sizes[b])
-        near = np.flatnonzero((off <= limit) & fits)
-        for a in near[np.argsort(off[near], kind="stable")].tolist():
-            if boss[a] == boss[b]:
-                continue
-            both = sizes[a] + sizes[b]
-            shared = both - len(np.union1d(sets[a], sets[b]))
-            if shared and shared / (both - shared) >= similarity:
-                boss[: b + 1][boss[: b + 1] == boss[a]] = boss[b]
+        other = np.flatnonzero(boss[:b] != boss[b])
+        fits = np.minimum(sizes[other], sizes[b]) >= similarity * np.maximum(sizes[other], sizes[b])
+        off = bits_apart(sketches[other], sketches[b]).sum(axis=1)
+        near = other[(off <= limit) & fits]
+        near = near[np.argsort(off[(off <= limit) & fits], kind="stable")]
+        while len(near):
+            a, near = int(near[0]), near[1:]
+            if alike(sets[a], sets[b], similarity):
+                boss[boss == boss[a]] = boss[b]
+                near = near[boss[near] != boss[b]]
                 links.append((a, b))
     return links
 
 
-def confirmed_roots(docs: DataFrame, outlines: DataFrame, proposed: DataFrame, similarity: float, like_width: int, limit: int) -> DataFrame:
-    """(node, root) as `proposed` has, with groups joined by links of exact similarity only.
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes have this Jaccard similarity; an empty set is like none."""
+    both = len(a) + len(b)
+    shared = both - len(np.union1d(a, b))
+    return bool(shared) and shared / (both - shared) >= similarity
 
-    docs has text and the columns doc_id and row_key of outlines; rows that share both are one text.
-    """
-    sizes = proposed.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "sketch")).alias("own")
-    members = outlines.groupBy("node").agg(own).join(proposed, "node").join(sizes, "root").select("root", "node", "size", "own.*")
-    # Block x of y meets every block, itself among them.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    at = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    at = at.withColumn("key", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")))
-    texts = docs.withColumnRenamed("doc_id", "__d").withColumnRenamed("row_key", "__k")
-    member = members.select(F.col("doc_id").alias("__m"), F.col("row_key").alias("__r"), F.col("node").alias("__n"))
-    texts = texts.join(member, F.col("__d").eqNullSafe(F.col("__m")) & (F.col("__k") == F.col("__r"))).select(F.col("__n").alias("node"), "text")
-    rows = at.select("key", "node", "sketch").join(texts, "node")
-
-    def links_of(group: dict[int, tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        nodes = np.fromiter(group, np.int64, len(group))
-        sketches = np.frombuffer(b"".join(sk for sk, _ in group.values()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-        links = np.array(exact_links([x for _, x in group.values()], sketches, similarity, limit), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[links[:, 0]]), pa.array(nodes[links[:, 1]])], ["u", "v"])
+
+def link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], ["u", "v"])
+
+
+def compared_blocks(rows: DataFrame, similarity: float, like_width: int, limit: int) -> DataFrame:
+    """(u, v): links that span what is alike among the rows of each key: key, node, home, sketch, text."""
+
+    def links_of(group: dict[int, tuple]) -> pa.RecordBatch:
+        nodes, sketches = list(group), np.frombuffer(b"".join(x[1] for x in group.values()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        found = exact_links([x[2] for x in group.values()], sketches, similarity, limit, np.array([x[0] for x in group.values()]))
+        return link_batch([(nodes[a], nodes[b]) for a, b in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, {}
         for batch in batches:
-            for k, node, sk, text in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch", "text")), strict=True):
+            for k, node, home, sk, text in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "home", "sketch", "text")), strict=True):
                 if k != key:
                     if len(group) > 1:
                         yield links_of(group)
                     key, group = k, {}
                 if node not in group:
-                    group[node] = (sk, shingle_hashes(words_of(text or ""), like_width))
+                    group[node] = (home, sk, shingle_hashes(words_of(text or ""), like_width))
         if len(group) > 1:
             yield links_of(group)
 
-    links = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
-    found = connected_components(links).withColumnRenamed("component", "root")
-    return proposed.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    columns = rows.select("key", "node", "home", "sketch", "text")
+    return columns.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+
+
+def compared_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, like_width: int) -> DataFrame:
+    """Of different pairs (u, v) of nodes those whose texts are alike; texts has node and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, first = None, None
+        for batch in batches:
+            found = []
+            for u, v, text in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text")), strict=True):
+                own = shingle_hashes(words_of(text or ""), like_width)
+                if (u, v) == pair and alike(first, own, similarity):
+                    found.append(pair)
+                pair, first = (u, v), own
+            yield link_batch(found)
+
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node")).join(texts, "node").select("u", "v", "text")
+    return ends.repartition("u", "v").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long")
+
+
+def confirmed_roots(docs: DataFrame, outlines: DataFrame, links: DataFrame, similarity: float, like_width: int, limit: int) -> DataFrame:
+    """(node, root) where groups are joined by links of exact similarity only; `links` says which texts may be alike.
+
+    docs has text and the columns doc_id and row_key of outlines; rows that share both are one text.
+    """
+    proposed = materialize(roots_of(outlines, links), "proposed-groups")
+    sizes = proposed.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "sketch")).alias("own")
+    members = outlines.groupBy("node").agg(own).join(proposed, "node").join(sizes, "root").select("root", "node", "size", "own.doc_id", "own.row_key", "own.sketch")
+    members = materialize(members, "group-members")
+    member = members.select(F.col("doc_id").alias("m"), F.col("row_key").alias("r"), "node")
+    texts = docs.select("doc_id", "row_key", "text").join(member, F.col("doc_id").eqNullSafe(F.col("m")) & (F.col("row_key") == F.col("r"))).select("node", "text")
+    small = members.where(F.col("size") <= SMALL * BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    # block x of y meets every block, itself among them
+    at = small.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    at = at.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", F.col("node").alias("home"), "sketch")
+    found = compared_blocks(at.join(texts, "node"), similarity, like_width, limit)
+    large = members.where(F.col("size") > SMALL * BLOCK)
+    if large.limit(1).count():
+        found = found.union(large_group_links(large, links, materialize(texts.join(large.select("node").distinct(), "node").dropDuplicates(["node"]), "group-texts"), similarity, like_width, limit))
+    return roots_of(outlines, found)
+
+
+def large_group_links(members: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, like_width: int, limit: int) -> DataFrame:
+    """(u, v): links of exact similarity that span what is alike in each large group (root, node, size, sketch).
+
+    In each round every text meets two of the candidates that are not yet linked to it. Copies of one text are soon one
+    body. Then the texts outside their group's largest body meet all of the group, block against block.
+    """
+    inside = links.join(members.select(F.col("node").alias("u")), "u", "left_semi")
+    homes = members.select("node", F.col("node").alias("home"))
+    good = None
+    for k in range(ROUNDS):
+        apart = inside
+        if good is not None:
+            of = lambda side: homes.select(F.col("node").alias(side), F.col("home").alias(f"home_{side}"))  # noqa: B023, E731
+            apart = inside.join(of("u"), "u").join(of("v"), "v").where("home_u <> home_v").select("u", "v")
+        chance = F.struct(F.xxhash64(F.lit(k), F.least("u", "v"), F.greatest("u", "v")).alias("h"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        each = apart.select(F.explode(F.array("u", "v")).alias("node"), chance.alias("link"))
+        picked = each.groupBy("node").agg(F.array(F.min("link"), F.max("link")).alias("links")).select(F.explode("links").alias("link"))
+        picked = materialize(picked.select("link.u", "link.v").distinct(), "picked-links")
+        if not picked.limit(1).count():
+            break
+        new = compared_pairs(picked, texts, similarity, like_width)
+        good = materialize(new if good is None else good.union(new), "confirmed-links")
+        homes = materialize(roots_of(members, good).withColumnRenamed("root", "home"), "homes")
+    placed = members.join(homes, "node")
+    bodies = placed.groupBy("root", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "home")).alias("body"), F.sum("n").alias("all"))
+    bodies = bodies.select("root", F.col("body.home").alias("body"), F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks"), F.ceil((F.col("all") - F.col("body.n")) / BLOCK).cast("long").alias("stray_blocks"))
+    placed = placed.join(bodies.where("stray_blocks > 0"), "root")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    strays = placed.where("home <> body").select("root", "node", "home", "sketch", block("stray_blocks").alias("s"), spread("blocks").alias("g"))
+    whole = placed.select("root", "node", "home", "sketch", spread("stray_blocks").alias("s"), block("blocks").alias("g"))
+    rows = strays.union(whole).select(F.xxhash64("root", "s", "g").alias("key"), "node", "home", "sketch").join(texts, "node")
+    met = compared_blocks(rows, similarity, like_width, limit)
+    return met if good is None else good.union(met)
 
 
 def keep_first_alike(docs: DataFrame, similarity: float = 0.8, find_width: int = 2, like_width: int = 5, radius: int = 12, sure: int = 8) -> DataFrame:
@@ -330,11 +399,12 @@ def keep_first_alike(docs: DataFrame, similarity: float = 0.8, find_width: int =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", "fp", "sketch", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    made = rows.mapInArrow(run, "doc_id long, row_key long, node long, fp long, sketch binary, bands array<long>")
+    made = spread(rows).mapInArrow(run, "doc_id long, row_key long, node long, fp long, sketch binary, bands array<long>")
     outlines = materialize(made, "document-outlines")
     limit = sketch_limit(similarity)
-    proposed = materialize(alike_roots(outlines, radius, sure, limit), "proposed-groups")
-    roots = confirmed_roots(rows, outlines, proposed, similarity, like_width, limit)
+    links = candidate_links(outlines, radius, sure, limit)
+    roots = confirmed_roots(rows, outlines, links, similarity, like_width, limit)
     least = outlines.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
-    stay = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.doc_id").alias("__d"), F.col("s.row_key").alias("__k"))
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_semi")
+    of_doc, of_row = unused(docs.columns, "of_doc", "of_row")
+    stay = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.doc_id").alias(of_doc), F.col("s.row_key").alias(of_row))
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)) & (F.xxhash64("text") == F.col(of_row)), "left_semi")

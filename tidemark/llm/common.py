@@ -16,6 +16,8 @@ from tidemark.functions.names import unused  # noqa: F401
 from tidemark.functions.workdir import shared_folder
 
 BATCH_ROWS = 1000
+#: A table of fewer bytes a core is dealt out before Python works on it.
+SMALL_BYTES = 8 << 20
 _written: dict[str, SparkSession] = {}
 
 
@@ -30,6 +32,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out to all cores; larger ones come in enough parts by themselves.
+
+    A file of one row group is one task however many cores there are. The size is the plan's estimate.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * SMALL_BYTES else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
     spark = df.sparkSession

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_whole_rows, small_batches
+from tidemark.llm.common import map_whole_rows, small_batches, spread
 
 SEED, Q = 10, 6
 #: Characters of items that one pass over the documents carries along; more items take more passes.
 BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 2_000_000
+#: Hits of seeds that are looked at together.
+HITS = 1_000_000
 BASE, MIX = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,21 +113,27 @@ class Items:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in code, item, diagonal) of every seed."""
+    def seeded(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in code, first seed, seeds): the places that have a seed, and where its items stand among the seeds."""
         h = grams(code, SEED)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
         lo, hi = np.searchsorted(self.seeds, h[at], "left"), np.searchsorted(self.seeds, h[at], "right")
-        n = hi - lo
-        at = np.repeat(at, n)
-        ends = np.cumsum(n)
+        some = hi > lo
+        return at[some], lo[some], (hi - lo)[some]
+
+    def hits(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in code, item, diagonal) of every seed at these places."""
+        at, ends = np.repeat(at, n), np.cumsum(n)
         which = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
         return at, self.owner[which], at - self.place[which]
 
     def regions(self, text: str, code: np.ndarray, items: np.ndarray, diagonals: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start or -1 where only the end is known, end, edits) of the best region of each item that has one."""
-        for k in np.unique(items).tolist():
-            item = self.codes[k]
+        order = np.lexsort((diagonals, items))
+        items, diagonals = items[order], diagonals[order]
+        found, edges = np.unique(items, return_index=True)
+        for k, a, z in zip(found.tolist(), edges.tolist(), np.r_[edges, len(items)][1:].tolist(), strict=True):
+            item, own = self.codes[k], diagonals[a:z]
             m, e = len(item), budget(len(item))
             at = text.find(self.texts[k])
             if at >= 0:
@@ -134,7 +142,7 @@ class Items:
             best = None
             bound = m + 1 - Q - Q * e
             tried = -(1 << 60)
-            for d in np.unique(diagonals[items == k]).tolist():
+            for d in np.unique(own).tolist():
                 if d - e <= tried:
                     continue  # the band before covers it
                 # each seed's diagonal is at most e off the region's others; bands of 4e + 1 overlap by half
@@ -176,15 +184,21 @@ class Items:
             part = folded[at:end]
             starts = np.cumsum([0] + [len(t) + 1 for t in part])
             code = codes("\n".join(part))  # folded texts have no line feed
-            place, item, diagonal = self.hits(code)
+            place, first, count = self.seeded(code)
             doc = np.searchsorted(starts, place, "right") - 1
-            order = np.argsort(doc, kind="stable")
-            doc, item, diagonal = doc[order], item[order], diagonal[order] - starts[doc[order]]
-            cuts = np.searchsorted(doc, np.arange(len(part) + 1))
+            cuts = np.searchsorted(doc, np.arange(len(part) + 1))  # of each text's places
+            total = np.r_[0, np.cumsum(count)]
             for i in np.unique(doc).tolist() if not self.short else range(len(part)):
-                s = slice(cuts[i], cuts[i + 1])
                 own = code[starts[i] : starts[i] + len(part[i])]
-                for k, a, z, edits in self.regions(part[i], own, item[s], diagonal[s]):
+                pairs = np.zeros((0, 2), np.int64)
+                a, z = int(cuts[i]), int(cuts[i + 1])
+                while a < z:  # common seeds have many items: a bounded number of hits at once, alike ones once
+                    stop = min(z, max(a + 1, int(np.searchsorted(total, total[a] + HITS, "right")) - 1))
+                    s = slice(a, stop)
+                    _, item, diagonal = self.hits(place[s] - starts[i], first[s], count[s])
+                    pairs = np.unique(np.r_[pairs, np.c_[item, diagonal]], axis=0)
+                    a = stop
+                for k, a, z, edits in self.regions(part[i], own, pairs[:, 0], pairs[:, 1]):
                     yield at + i, k, a, z, edits
                 for k in self.short:
                     if f" {self.texts[k]} " in f" {part[i]} ":
@@ -213,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, end_char long, edits int, exact boolean"
     out = docs.sparkSession.createDataFrame([], schema)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     for sent in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -239,6 +253,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stays empty.
     """
     small_batches(docs.sparkSession)
+    docs = spread(docs)
     for sent in item_blocks(benchmark):
 
         def clean(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small_batches, spread
 
 SIGMA = 1.5
 #: Fixed lists of HTML element names, by their role here.
@@ -266,4 +266,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             )
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(own).mapInArrow(run, "page_id long, url string, text string, n_chars long")

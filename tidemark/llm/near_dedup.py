@@ -7,7 +7,7 @@ A shard is searched with a BK-tree: a child hangs at its integer Hamming distanc
 search follows only edges within the radius. The trees are built where their shard lies and are not sent
 about, since all fingerprints together have no size bound. A subtree already known to lie in the searched
 fingerprint's component is passed over, so a crowd of near copies costs about linear time and gives a
-spanning set of links, never all pairs. Shards over `heavy` rows are cut again by the remaining bits.
+spanning set of links, never all pairs. Shards over `heavy` rows are cut again by the remaining bits, level by level.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, small_batches
+from tidemark.llm.common import connected_components, materialize, release, small_batches, spread
 
 HEAVY = 20_000
+#: Keys of crowded shards (8 bytes each) are sent to all tasks up to this count; masks of cut shards are constants of a plan.
+BROADCAST_KEYS, MOST_MASKS = 500_000, 5000
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fps = np.array([fingerprint(t.as_py() or "", words) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(bits: list[int], blocks: int, agree: int) -> list[int]:
@@ -109,14 +111,17 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
     """Spanning links (u, v) of each shard; shards has key and fp and is dealt and sorted by key here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held: list[tuple] = []
         for batch in batches:
-            key = np.concatenate([rest[0], batch.column("key").to_numpy()])
-            fp = np.concatenate([rest[1], batch.column("fp").to_numpy()])
+            key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
-            yield links_of(key[:last], fp[:last])
-            rest = (key[last:], fp[last:])
-        yield links_of(*rest)
+            if last:
+                yield links_of(*(np.concatenate(c) for c in zip(*held, (key[:last], fp[:last]), strict=True)))
+                held = []
+            if len(key):
+                held.append((key[last:], fp[last:]))
+        if held:
+            yield links_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def links_of(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -136,22 +141,43 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
     return shards.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
 
 
+def shards(rows: DataFrame, masks: list[int], radius: int, heavy: int, levels: int = 3) -> DataFrame:
+    """The rows (with a column fp) once for each mask, with key, the shard of what agrees on the mask's bits.
+
+    A shard of over `heavy` rows is dealt again by each of radius + 1 runs of the bits that its rows do not share yet:
+    rows within the radius agree on one of them, so whatever meets in a shard still meets. That goes on level by level.
+    """
+    carried = rows.columns
+    deal = lambda df, *more: df.select(*carried, "t", F.xxhash64(*more, F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    dealt = deal(rows.select(*carried, F.posexplode(F.array(*map(F.lit, masks))).alias("t", "mask")), "t")
+    shared, out = list(masks), None  # by t: the bits that agree
+    for level in range(levels):
+        crowded = materialize(dealt.groupBy("key").count().where(F.col("count") > heavy).select("key"), "crowded-shards")
+        n = crowded.count()
+        if not n:
+            release(crowded)
+            break
+        if n <= BROADCAST_KEYS:  # else both joins shuffle
+            crowded = F.broadcast(crowded)
+        runs = [block_masks([b for b in range(64) if not m >> b & 1], radius + 1, 1) for m in shared]
+        light = dealt.join(crowded, "key", "left_anti").select(*carried, "key")
+        out = light if out is None else out.union(light)
+        choice = F.posexplode(F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), F.col("t") + 1)).alias("s", "mask")
+        cut = dealt.join(crowded, "key", "left_semi").select(*carried, "t", "key", choice)
+        cut = cut.withColumn("t", F.col("t") * (radius + 1) + F.col("s"))
+        dealt = deal(cut, "key", "t")
+        shared = [m | x for m, r in zip(shared, runs, strict=True) for x in r]
+        if len(shared) > MOST_MASKS or min((~m & (1 << 64) - 1).bit_count() for m in shared) <= radius:
+            break
+    dealt = dealt.select(*carried, "key")
+    return dealt if out is None else out.union(dealt)
+
+
 def fingerprint_components(fps: DataFrame, radius: int = 3, agree: int = 2, heavy: int = HEAVY) -> DataFrame:
     """(fp, root) for every different fp of a column fp: root is shared by all that chains of links reach."""
-    masks = block_masks(list(range(64)), radius + agree, agree)
-    finer = []
-    for m in masks:
-        rest = [b for b in range(64) if not m >> b & 1]
-        finer.append(block_masks(rest, radius + 1, 1))
     different = materialize(fps.select("fp").distinct(), "fingerprints")
-    choice = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask")
-    dealt = different.select("fp", choice).select("fp", "t", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    crowded = dealt.groupBy("key").count().where(F.col("count") > heavy).select("key")
-    light = dealt.join(crowded, "key", "left_anti").select("key", "fp")
-    again = F.posexplode(F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in finer]), F.col("t") + 1)).alias("s", "mask")
-    cut = dealt.join(crowded, "key", "left_semi").select("key", "fp", again)
-    cut = cut.select(F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    links = shard_links(light.union(cut), radius)
+    masks = block_masks(list(range(64)), radius + agree, agree)
+    links = shard_links(shards(different, masks, radius, heavy), radius)
     found = connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
     return different.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Generations, materialize, salted_rank, small_batches
+from tidemark.llm.common import Generations, materialize, salted_rank, small_batches, spread
 
 
 def price(duals: np.ndarray, units: int) -> tuple[float, np.ndarray]:
@@ -190,7 +190,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
             )
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, grain: int = 8) -> DataFrame:

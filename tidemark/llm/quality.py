@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import map_whole_rows, small_batches, spread
 from tidemark.llm.labelled import SAMPLE_ROWS, held_out, logistic, sample_ids, sample_texts, sigmoid
 
 SLICE_BYTES = 4_000_000
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataF
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return spread(own).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def sliced_scores(model: QualityModel, texts: pa.Array) -> np.ndarray:
@@ -218,12 +218,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns, whatever their names.
+
+    A null text counts as an empty one, which scores by the model's bias alone, and stays null. Rows with a null id
+    are scored like others; rows that repeat stay or go alike; without labels all texts score the same. An empty table
+    stays empty.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sliced_scores(sent.value, batch.column("text")) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole_rows(spread(docs), lambda batch: batch.filter(pa.array(sliced_scores(sent.value, batch.column("text")) >= threshold)))

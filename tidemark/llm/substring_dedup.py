@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_whole_rows, materialize, release, small_batches, unused
+from tidemark.llm.common import map_whole_rows, materialize, release, small_batches, spread, unused
 
 #: Fixed odd multipliers of the hashes.
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame, width: int, rounds: int) -> DataFrame:
                 columns = [r["core"].view(np.int64), r["whole"].view(np.int64), doc_id[which[r["text"]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "whole", "doc_id"])
 
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    known = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
     seen = known.mapInArrow(cores, "core long, whole long, doc_id long")
     shared = (
         seen.groupBy("core")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Generations, map_whole_rows, small_batches
+from tidemark.llm.common import Generations, map_whole_rows, small_batches, spread
 
 #: Fixed value: the pre-token pattern of this family of byte-level vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -258,7 +258,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def truncate_texts(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
@@ -274,4 +274,4 @@ def truncate_texts(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
         kept = [None if t is None else t[:n] for t, n in zip(texts.to_pylist(), fit.tolist(), strict=True)]
         return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
 
-    return map_whole_rows(docs, cut)
+    return map_whole_rows(spread(docs), cut)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Generations, small_batches
+from tidemark.llm.common import Generations, small_batches, spread
 from tidemark.llm.labelled import SAMPLE_ROWS, held_out, logistic, sample_ids, sample_texts, sigmoid
 
 BEGINNINGS = (3, 4, 5, 6)
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return spread(own).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
