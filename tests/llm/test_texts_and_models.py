@@ -126,6 +126,14 @@ def test_fingerprint_report_with_repeated_ids(spark):
     assert len(cf.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == len(rows)
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefghij klmnö") for _ in range(400_000))
+    got = {r.doc_id: r for r in cf.fingerprint_report(spark.createDataFrame([(2, long), (1, "start " + long)], "doc_id long, text string")).collect()}
+    assert got[2].n_chars == 400_000 and got[2].near_next > 0.99 and 0.6 < got[2].near_edited <= 1
+    assert cf.from_string(got[2].fingerprint) == cf.chunk_set(long)
+
+
 def least_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):

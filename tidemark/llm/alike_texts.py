@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, small_batches, spread, unused
+from tidemark.llm.common import connected_components, materialize, settled, small_batches, spread, unused
 from tidemark.llm.near_dedup import block_masks, shards
 
 SKETCH_BITS = 256
@@ -402,8 +402,7 @@ def keep_first_alike(docs: DataFrame, similarity: float = 0.8, find_width: int =
     made = spread(rows).mapInArrow(run, "doc_id long, row_key long, node long, fp long, sketch binary, bands array<long>")
     outlines = materialize(made, "document-outlines")
     limit = sketch_limit(similarity)
-    links = candidate_links(outlines, radius, sure, limit)
-    roots = confirmed_roots(rows, outlines, links, similarity, like_width, limit)
+    roots = settled("roots", lambda: confirmed_roots(rows, outlines, candidate_links(outlines, radius, sure, limit), similarity, like_width, limit))
     least = outlines.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
     of_doc, of_row = unused(docs.columns, "of_doc", "of_row")
     stay = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.doc_id").alias(of_doc), F.col("s.row_key").alias(of_row))

@@ -26,6 +26,8 @@ LEAST, NORMAL, MOST = 8, 32, 128
 #: A fixed pseudo-random number for each byte, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 20) for b in range(256)], np.uint32)
 HARD_BITS, EASY_BITS = 6, 4
+#: Rows of a range of ids, as long as there are no more ranges than that; a range is a sorted stream in one task.
+RANGE_ROWS, MOST_RANGES = 100_000, 8192
 
 
 def gear_hashes(data: bytes) -> np.ndarray:
@@ -114,8 +116,8 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("key", F.coalesce("doc_id", F.lit(low)))
-    ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = own.select("key")
+    ranges = min(MOST_RANGES, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), ids.count() // RANGE_ROWS))
     quantiles = F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 10 * ranges)
     cuts = np.array(sorted(set(ids.agg(quantiles.alias("q")).first()["q"] or [])), np.int64)
 

@@ -56,20 +56,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(df: DataFrame | None) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_tidemark_path", None)
-    if path is None or path not in _written:
-        return
+    if path is not None and path in _written:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
     spark = _written.pop(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def settled(label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() makes, written; all other tables that were written for it are deleted."""
+    before = set(_written)
+    out = materialize(build(), label)
+    for path in set(_written) - before - {out._tidemark_path}:
+        _delete(path)
+    return out
+
+
 @atexit.register
 def _release_all() -> None:
-    for path, spark in list(_written.items()):
+    for path in list(_written):
         try:
-            holder = type("Held", (), {"_tidemark_path": path})()
-            release(holder)
+            _delete(path)
         except Exception:  # the session is gone already
             _written.pop(path, None)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, release, small_batches, spread
+from tidemark.llm.common import connected_components, materialize, release, settled, small_batches, spread
 
 HEAVY = 20_000
 #: Keys of crowded shards (8 bytes each) are sent to all tasks up to this count; masks of cut shards are constants of a plan.
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     linked like any copies; a component of null ids only has a null id; an empty table stays empty.
     """
     fps = materialize(fingerprints(docs, words), "document-fingerprints")
-    roots = fingerprint_components(fps, radius)
+    roots = settled("roots", lambda: fingerprint_components(fps, radius))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = least.join(roots, "fp")
     groups = known.groupBy("root").agg(F.min("least").alias("component_id"))
