@@ -73,8 +73,9 @@ def test_places_of_a_store(spark, engine):
     assert {(r.ts_ns, r.block_num) for r in store.records().collect()} == {(k, (k - 1) % 10) for k in range(6, 16)}
     assert store.of_block(4).first().ts_ns == 15 and store.of_block(5).first().ts_ns == 6
     for n in (-1, 10):
-        with pytest.raises(IndexError):
-            store.of_block(n)
+        for look in (store.of_block, store.inspect):
+            with pytest.raises(IndexError):
+                look(n)
     assert store.exact_block(9).first().block_num == 8 and store.exact_block(99).count() == 0
     assert [store.floor_block(t).first().first_ts for t in (1, 6, 9, 99)] == [6, 6, 9, 15]
     assert sorted(r.first_ts for r in store.blocks_in_range(7, 9).collect()) == [7, 8, 9]
@@ -84,6 +85,7 @@ def test_places_of_a_store(spark, engine):
     assert (big.block_seq, big.span_count) == (15, 3) and [r.ts_ns for r in store.oldest(1).collect()] == [9]
     small = [store.put("{}", 21), store.put("{}", 22)]
     assert [(h.block_seq, h.offset) for h in small] == [(18, 0), (18, 26)] and store.get(small[1]).first().ts_ns == 22
+    assert [(r.offset, r.ts_ns, r.size, r.first_ts, r.payload) for r in store.inspect(8).collect()] == [(0, 21, 2, 21, "{}"), (26, 22, 2, 21, "{}")]
     store.delete_handle(small[1])
     with pytest.raises(KeyError):
         store.delete_handle(small[1])

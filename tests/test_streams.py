@@ -225,6 +225,19 @@ def test_pull_connection_writes_to_its_store(spark, tmp_path, remote):
     assert sorted(r.ts_ns for r in store.records().collect()) == [5, 6, 7]
 
 
+def test_lines_of_a_socket_go_to_a_store(spark, tmp_path):
+    """Keys go on from batch to batch; a broken line is refused by itself."""
+    store, acks = opened(spark, tmp_path), []
+    for k, lines in enumerate((['{"a":1}', "broken", "QUIT"], ['{"a":2}', "3"])):
+        (tmp_path / "lines").mkdir(exist_ok=True)
+        (tmp_path / "lines" / f"{k}.txt").write_text("\n".join(lines))
+        stream = spark.readStream.text(str(tmp_path / "lines"))
+        p.push(stream, p.store_sink(store, collected(acks), documents=True), str(tmp_path / "cp"), None).awaitTermination()
+    rows = store.records().orderBy("ts_ns").collect()
+    assert [r.payload for r in rows] == ['{"a":1}', '{"a":2}', "3"] and len({r.ts_ns for r in rows}) == 3
+    assert sorted(str(r.error) for r in acks) == ["None", "None", "None", "invalid JSON"]
+
+
 def test_failed_queries_are_started_again(spark, tmp_path):
     store, rows, calls = opened(spark, tmp_path), [], []
     store.put({"v": 1}, 5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
@@ -63,35 +64,38 @@ class SchemaRegistry:
     def loads(cls, text: str) -> SchemaRegistry:
         return cls([[Field(**f) for f in v] for v in json.loads(text)])
 
-    def _renamed(self, payload: Column, names: dict[str, str]) -> Column:
-        """The object with the keys of `names` renamed, in that order; others are left out, values stay as they are."""
-        record = F.try_parse_json(payload)
-        parts = [
-            F.concat(F.lit(json.dumps(new, ensure_ascii=False) + ":"), F.to_json(F.try_variant_get(record, "$['" + old.replace("'", "\\'") + "']", "variant")))
-            for old, new in names.items()
-        ]
-        return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+    def _parsed(self, payload: Column, use: Callable[[Column], Column]) -> Column:
+        """What `use` makes of the record as a map from keys to VARIANT, which is parsed once; null for what is no object."""
+        return F.element_at(F.transform(F.array(F.from_json(payload, "map<string,variant>")), use), 1)
+
+    def _renamed(self, record: Column, names: dict[str, str]) -> Column:
+        """The object with the keys of `names` renamed, in that order; others are left out, values stay as they are.
+
+        The work is by the fields that a record has, not by those that the schema has.
+        """
+        places = [x for i, (old, new) in enumerate(names.items()) for x in (F.lit(old), F.struct(F.lit(i).alias("at"), F.lit(json.dumps(new, ensure_ascii=False) + ":").alias("name")))]
+        place = lambda e: F.element_at(F.create_map(*places), e["key"])
+        known = F.filter(F.transform(F.map_entries(record), lambda e: F.struct(place(e)["at"].alias("at"), F.concat(place(e)["name"], F.coalesce(F.to_json(e["value"]), F.lit("null"))).alias("text"))), lambda x: x["at"].isNotNull())
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(known), lambda x: x["text"]), ","), F.lit("}"))
 
     def compact(self, payload: Column, version: int = 0) -> Column:
         """Names to indexes, ascending; null where validate() is false. Compact input stays as it is."""
-        full = self._renamed(payload, {f.name: str(f.index) for f in self.fields(version)})
-        return F.when(self.is_full(payload, version), full).when(self.is_compact(payload, version), payload)
+        names = {f.name: str(f.index) for f in self.fields(version)}
+        return self._parsed(payload, lambda r: F.when(self._within(r, [*names]), self._renamed(r, names)).when(self._within(r, [*names.values()]), payload))
 
     def expand(self, payload: Column, version: int = 0) -> Column:
         """Indexes to names; unknown indexes are skipped, and keys that are no numbers give null."""
-        keys = F.json_object_keys(payload)
-        numbers = F.forall(keys, lambda k: k.rlike(r"^\d+$"))
-        return F.when(numbers, self._renamed(payload, {str(f.index): f.name for f in self.fields(version)}))
+        names = {str(f.index): f.name for f in self.fields(version)}
+        return self._parsed(payload, lambda r: F.when(F.forall(F.map_keys(r), lambda k: k.rlike(r"^\d+$")), self._renamed(r, names)))
 
-    def _within(self, payload: Column, known: list[str]) -> Column:
-        keys = F.json_object_keys(payload)
-        return F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) == 0, F.lit(False))
+    def _within(self, record: Column, known: list[str]) -> Column:
+        return F.coalesce(F.size(F.array_except(F.map_keys(record), F.array(*map(F.lit, known)))) == 0, F.lit(False))
 
     def is_full(self, payload: Column, version: int = 0) -> Column:
-        return self._within(payload, [f.name for f in self.fields(version)])
+        return F.coalesce(self._parsed(payload, lambda r: self._within(r, [f.name for f in self.fields(version)])), F.lit(False))
 
     def is_compact(self, payload: Column, version: int = 0) -> Column:
-        return self._within(payload, [str(f.index) for f in self.fields(version)])
+        return F.coalesce(self._parsed(payload, lambda r: self._within(r, [str(f.index) for f in self.fields(version)])), F.lit(False))
 
     def validate(self, payload: Column, version: int = 0) -> Column:
         """Whether all keys are known names, or all are known indexes; fields may be absent."""

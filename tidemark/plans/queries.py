@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.durations import parse_duration
 from tidemark.functions.timeconv import rfc3339, to_ns
 from tidemark.functions.values import number_text
-from tidemark.functions.workdir import shared_folder
+from tidemark.functions.workdir import scratch_folder
 from tidemark.operators import output, retention, running, scans
 from tidemark.operators.aggregate import AggSpec, aggregate, aggregate_json
 from tidemark.operators.rules import Condition, Rule, alerts, with_cooldown
 from tidemark.operators.schema import Field, SchemaRegistry
-from tidemark.sources.lines import journal_records, rates
-from tidemark.sources.store import describe
-from tidemark.streaming.push import parquet_sink, push
-from tidemark.streaming.windows import closed_windows
+from tidemark.sources.lines import journal_records, rates, system_stats
+from tidemark.sources.store import Config, Engine, Handle, Store, describe, usage
+from tidemark.streaming.push import data_messages, parquet_sink, push
+from tidemark.streaming.windows import closed_windows, record_windows
 
 HOUR, DAY = 3600 * 10**9, 86_400 * 10**9
 START = 1_704_067_200 * 10**9  # 2024-01-01
@@ -463,14 +461,16 @@ def stats(spark, sf_dir):
     return describe(events(spark, sf_dir), "events", "props")
 
 
-@query("""
-select 'events' as store, count(*) as records, min(epoch_ns(ts)) as oldest_ns, max(epoch_ns(ts)) as newest_ns from events
-union all select 'lineitem', count(*), min(epoch_ns(l_shipdate)), max(epoch_ns(l_shipdate)) from lineitem
-union all select 'orders', count(*), min(epoch_ns(o_orderdate)), max(epoch_ns(o_orderdate)) from orders""")
+STATUS_SQL = " union all ".join(
+    f"select '{t}' as store, count(*) as records, sum(octet_length(encode({p})))::bigint as bytes, min(epoch_ns({ts})) as oldest_ns, max(epoch_ns({ts})) as newest_ns from {t}"
+    for t, p, ts in (("events", "props", "ts"), ("lineitem", "l_returnflag", "l_shipdate"), ("orders", "o_orderstatus", "o_orderdate")))
+
+
+@query(f"""select *, (1024 * 4072)::bigint as capacity_bytes, least(round((bytes + 24 * records) * 100.0 / (1024 * 4072), 2), 100.0) as used_percent from ({STATUS_SQL})""")
 def status_report(spark, sf_dir):
-    frames = {"events": events(spark, sf_dir), "lineitem": lineitems(spark, sf_dir)}
-    frames["orders"] = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("ts_ns", to_ns("o_orderdate"))
-    parts = [describe(df.withColumn("payload", F.lit("")), name).select("store", "records", "oldest_ns", "newest_ns") for name, df in frames.items()]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("ts_ns", to_ns("o_orderdate"))
+    frames = (("events", events(spark, sf_dir), "props"), ("lineitem", lineitems(spark, sf_dir), "l_returnflag"), ("orders", orders, "o_orderstatus"))
+    parts = [usage(describe(df, name, payload), 1024, 4096).drop("oldest", "newest") for name, df, payload in frames]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -577,9 +577,170 @@ select window_end, count(*) as record_count, false as partial, round(avg(value),
 where window_end < (select max(window_end) from e) group by window_end""")
 def stream_closed_windows(spark, sf_dir):
     """A stream over the table, run to its end: every closed window once, the open one not."""
-    path = f"{shared_folder(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "stream")
     source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts_ns", to_ns("ts"))
     out = closed_windows(stream, AggSpec.parse("1d", "value:avg"), ["value", "event_type"])
     push(out, parquet_sink(f"{path}/out"), f"{path}/checkpoint", None).awaitTermination()
     return rounded(spark.read.schema(out.schema).parquet(f"{path}/out/*"), "value")
+
+
+@query(f"""
+with e as (select (epoch_ns(ts) // {DAY} + 1) * {DAY} as window_end, value, event_type, user_id, ts from events)
+select window_end, count(*) as record_count, false as partial, round(avg(value), 6) as value_avg, max(user_id)::double as user_id, arg_max(event_type, ts) as event_type from e
+where window_end < (select max(window_end) from e) group by window_end""")
+def stream_record_windows(spark, sf_dir):
+    """All fields of JSON records in one stateful pass, as a connection sends them; the open window stays."""
+    path, spec = scratch_folder(spark, "stream"), AggSpec.parse("1d", "value:avg,user_id:max", "last")
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts_ns", to_ns("ts"))
+    payload = F.to_json(F.struct(F.col("value"), "user_id", "event_type"))
+    out = record_windows(stream.select("ts_ns", payload.alias("payload")), spec)
+    push(out, parquet_sink(f"{path}/out"), f"{path}/checkpoint", None).awaitTermination()
+    data = F.from_json("data", "value double, user_id double, event_type string")
+    rows = spark.read.schema(out.schema).parquet(f"{path}/out/*").withColumn("d", data)
+    return rows.select("window_end", "record_count", "partial", F.round("d.value", 6).alias("value_avg"), "d.user_id", "d.event_type")
+
+
+@query("""select '{"type":"data","timestamp":' || epoch_ns(ts) || ',"data":{"event_type":"' || event_type || '","user_id":' || user_id || '}}' as message
+from events where contains('"1":"' || event_type, '"1":"c')""")
+def stream_schema_messages(spark, sf_dir):
+    """Compact records filtered as they are stored, sent out with their names."""
+    path, source = scratch_folder(spark, "stream"), spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts_ns", to_ns("ts"))
+    compact = registry().compact(F.to_json(F.struct("event_type", "user_id")))
+    out = data_messages(stream.select("ts_ns", compact.alias("payload")), '"1":"c', registry=registry())
+    push(out, parquet_sink(f"{path}/out"), f"{path}/checkpoint", None).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out/*").select("message")
+
+
+@query("select event_id, event_type, value from events where event_id % 5 <> 0 and value > 50")
+def rule_not_a_number(spark, sf_dir):
+    """Nothing compares to a NaN, though Spark sorts it above all."""
+    df = events(spark, sf_dir).withColumn("v", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return df.where(Condition.parse("v > 50").typed(df)).select("event_id", "event_type", "value")
+
+
+@query("select event_id, event_type, value from events where event_id % 7 not in (0, 1)")
+def rule_infinite_literal(spark, sf_dir):
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("inf"))).when(F.col("event_id") % 7 == 1, F.lit(float("nan"))).otherwise(F.col("value"))
+    df = events(spark, sf_dir).withColumn("v", v)
+    return df.where(Condition.parse("v != +Inf and v > -infinity AND event_id != NaN").typed(df)).select("event_id", "event_type", "value")
+
+
+@query("""select l_orderkey, l_linenumber, regexp_replace(cast(l_extendedprice / (l_quantity + l_linenumber * 1.7e0) as varchar), '\\.0$', '') as shown from lineitem""")
+def number_as_text_long(spark, sf_dir):
+    """Quotients need all their seventeen digits."""
+    quotient = F.col("l_extendedprice").cast("double") / (F.col("l_quantity").cast("double") + F.col("l_linenumber") * F.lit(1.7))
+    return lineitems(spark, sf_dir).select("l_orderkey", "l_linenumber", number_text(quotient).alias("shown"))
+
+
+@query(windowed("max(value) as field_partial, min(user_id)::double as field_record_count", DAY))
+def agg_reserved_names(spark, sf_dir):
+    df = events(spark, sf_dir).select("ts_ns", F.col("value").alias("partial"), F.col("user_id").alias("record_count"))
+    return aggregate(df, AggSpec.parse("1d", "partial:max,record_count:min"), ["partial", "record_count"])
+
+
+@query("""
+with s as (select epoch_ns(ts) as ts_ns, event_id * 100 as t, event_id * 37 + user_id % 30 as i, event_id * 4096 as r, event_id * 512 + user_id as w, 8000000 as mt, 1000 * user_id as ma from events),
+p as (select *, lag(ts_ns) over (order by ts_ns) as q, t - lag(t) over (order by ts_ns) as dt, i - lag(i) over (order by ts_ns) as di, r - lag(r) over (order by ts_ns) as dr, w - lag(w) over (order by ts_ns) as dw from s)
+select ts_ns, ((dt - di) * 100 // dt)::int as "cpu.pct", mt::bigint as "memory.total", (mt - ma)::bigint as "memory.used", ma::bigint as "memory.available", ((mt - ma) * 100 // mt)::int as "memory.pct",
+  (dr // greatest(1, (ts_ns - q) // 1000000000))::bigint as "disk_io.read_bytes_sec", (dw // greatest(1, (ts_ns - q) // 1000000000))::bigint as "disk_io.write_bytes_sec",
+  (dr // greatest(1, (ts_ns - q) // 1000000000))::bigint as "network.rx_bytes_sec", (dr // greatest(1, (ts_ns - q) // 1000000000))::bigint as "network.tx_bytes_sec",
+  0::bigint as "disk_space.total", 0::bigint as "disk_space.used", 0::bigint as "disk_space.available", 0 as "disk_space.pct" from p where q is not null""")
+def system_stats_records(spark, sf_dir):
+    e = F.col("event_id")
+    raw = events(spark, sf_dir).select(
+        "ts_ns", (e * 100).alias("cpu_total"), (e * 37 + F.col("user_id") % 30).alias("cpu_idle"), F.lit(8_000_000).cast("long").alias("memory_total"),
+        (F.col("user_id") * 1000).cast("long").alias("memory_available"), (e * 4096).alias("disk_read"), (e * 512 + F.col("user_id")).alias("disk_write"),
+        (e * 4096).alias("network_rx"), (e * 4096).alias("network_tx"), F.lit(0).cast("long").alias("space_total"), F.lit(0).cast("long").alias("space_available"),
+    )
+    return system_stats(raw)
+
+
+STORE_SQL = f"""with recursive {PACKED_SQL}, e as (select max(block_seq + span_count) as e from packed),
+held as (select ts_ns, size, (block_seq % {{n}})::bigint as block_num, block_seq::bigint as block_seq, "offset", span_count::bigint as span_count from packed, e where block_seq >= e - {{n}})"""
+
+
+def document_store(spark: SparkSession, sf_dir: str, blocks: int) -> Store:
+    """A text store of all documents, keyed by doc_id + 1; of so many blocks, it holds the newest."""
+    store = Engine(spark, scratch_folder(spark, "store")).create(Config("documents", blocks, kind="text"))
+    store.append(documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("ts_ns"), F.col("text").alias("payload")))
+    return store
+
+
+def placed(records: DataFrame) -> DataFrame:
+    return records.select("ts_ns", output.payload_size(F.col("payload")).alias("size"), "block_num", "block_seq", "offset", "span_count")
+
+
+@query(STORE_SQL.format(n=50) + " select * from held")
+def store_capacity(spark, sf_dir):
+    """What a full store still holds, read by a range of blocks."""
+    return placed(document_store(spark, sf_dir, 50).records())
+
+
+def some_handle(store: Store) -> Handle:
+    """Of the fifth-newest record."""
+    r = placed(store.newest(5)).orderBy("ts_ns").first()
+    return Handle(r.ts_ns, r.block_seq, r.offset, r["size"], r.span_count)
+
+
+FIFTH = "(select min(ts_ns) from (select ts_ns from held order by ts_ns desc limit 5))"
+
+
+@query(STORE_SQL.format(n=50) + f" select * from held where ts_ns = {FIFTH}")
+def store_get_by_handle(spark, sf_dir):
+    store = document_store(spark, sf_dir, 50)
+    return placed(store.get(some_handle(store)))
+
+
+@query(STORE_SQL.format(n=50) + " select * from held where block_num = 7 order by ts_ns limit 1")
+def store_get_by_block(spark, sf_dir):
+    return placed(document_store(spark, sf_dir, 50).of_block(7))
+
+
+BLOCKS_SQL = ", blocks as (select block_num, block_seq, min(ts_ns) as first_ts, count(*) as records from held group by 1, 2)"
+
+
+@query(STORE_SQL.format(n=50) + BLOCKS_SQL + " select * from blocks")
+def store_blocks(spark, sf_dir):
+    return document_store(spark, sf_dir, 50).blocks()
+
+
+@query(STORE_SQL.format(n=50) + BLOCKS_SQL + f" select * from blocks where first_ts = (select max(first_ts) from blocks where first_ts <= {FIFTH})")
+def store_exact_block(spark, sf_dir):
+    """The block that holds the fifth-newest record, by the floor of its key and again by its first key."""
+    store = document_store(spark, sf_dir, 50)
+    return store.exact_block(store.floor_block(some_handle(store).ts_ns).first().first_ts)
+
+
+@query(STORE_SQL.format(n=50) + f" select * from held where ts_ns <> {FIFTH}")
+def store_delete_by_handle(spark, sf_dir):
+    store = document_store(spark, sf_dir, 50)
+    store.delete_handle(some_handle(store))
+    return placed(store.records())
+
+
+@query("select doc_id + 1 as ts_ns, case when doc_id = 7 then 'again' else text end as payload from documents")
+def store_reinsert(spark, sf_dir):
+    """A key that was deleted comes again, after a compaction too."""
+    store = document_store(spark, sf_dir, 1 << 20)
+    store.delete(8)
+    store.compact()
+    store.insert("once more", 8)
+    store.delete(8)
+    store.insert("again", 8)
+    return store.records().select("ts_ns", "payload")
+
+
+@query("""
+with m as (select event_id as arrival, case when event_id % 9 = 4 then 1 else epoch_ns(ts) end as t, event_id % 11 = 3 as broken from events),
+s as (select *, max(case when not broken then t end) over (order by arrival rows between unbounded preceding and 1 preceding) as seen from m)
+select arrival, case when broken then null when t <= coalesce(seen, 0) then null else t end as stored from s""")
+def store_messages(spark, sf_dir):
+    """Envelope lines taken or refused one by one: broken ones, and those that go back in time."""
+    at = F.when(F.col("event_id") % 9 == 4, F.lit(1)).otherwise(F.col("ts_ns"))
+    line = F.when(F.col("event_id") % 11 == 3, F.lit("broken")).otherwise(F.format_string('{"timestamp":%d,"data":{"v":1}}', at))
+    store = Engine(spark, scratch_folder(spark, "store")).create(Config("messages"))
+    done = store.append_messages(events(spark, sf_dir).select(F.col("event_id").alias("n"), line.alias("value")), arrival="n")
+    return done.join(store.records().select(F.col("ts_ns").alias("stored")), (F.col("ts_ns") == F.col("stored")) & F.col("error").isNull(), "left").select("arrival", "stored")

@@ -29,7 +29,7 @@ def line_documents(lines: DataFrame, now_ns: int, line: str = "value") -> DataFr
     """One JSON document a line, as a local socket sends them; keys rise from now_ns on. QUIT ends nothing here.
 
     On a stream the keys of one batch would come again in the next: there give each batch its own present, as
-    append_lines() of a store does in foreachBatch.
+    append_lines() of a store does in foreachBatch (store_sink).
     """
     if lines.isStreaming:
         raise ValueError("the lines of a stream get their keys batch by batch")

@@ -205,6 +205,14 @@ class Store:
             raise IndexError(f"block {block_num} of {self.config.num_blocks}")
         return self.records().where(F.col("block_num") == block_num).orderBy("ts_ns").limit(1)
 
+    def inspect(self, block_num: int) -> DataFrame:
+        """What stands in a block of the ring, in order: the record headers, payloads, and the block's index entry."""
+        if not 0 <= block_num < self.config.num_blocks:
+            raise IndexError(f"block {block_num} of {self.config.num_blocks}")
+        rows = self.records().where(F.col("block_num") == block_num).withColumn("size", F.octet_length("payload"))
+        first = F.min("ts_ns").over(Window.partitionBy("block_seq"))
+        return rows.select("block_num", "block_seq", "offset", "ts_ns", "size", "span_count", first.alias("first_ts"), "payload").orderBy("offset")
+
     def blocks(self) -> DataFrame:
         """block_num, block_seq, first_ts and records of each block in which a record starts."""
         grouped = self.records().groupBy("block_num", "block_seq")
@@ -334,6 +342,12 @@ class Store:
         self._publish(judged.where("error is null").select("ts_ns", F.col("payload").cast(self.payload_type).alias("payload"), "error"))
         return judged.select("arrival", "ts_ns", "error")
 
+    def append_lines(self, lines: DataFrame, now_ns: int | None = None) -> DataFrame:
+        """Write one JSON document a line (column value), as a local socket sends them, each at its own present; QUIT lines
+        are no documents. Returns what append_messages() does; streams call it batch by batch."""
+        wrapped = F.when(F.try_parse_json("value").isNotNull(), F.concat(F.lit('{"data":'), F.col("value"), F.lit("}"))).otherwise(F.lit("no JSON"))
+        return self.append_messages(lines.where("trim(value) <> 'QUIT'").select(wrapped.alias("value")), now_ns)
+
     def _staged(self, df: DataFrame) -> DataFrame:
         """The rows, computed once; the folder is swept with what no commit names."""
         path = f"{self.path}/staging/{uuid.uuid4().hex}"

@@ -87,14 +87,15 @@ def parquet_sink(path: str) -> Sink:
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def store_sink(store: Store, acks: Sink | None = None, compact: bool = False) -> Sink:
+def store_sink(store: Store, acks: Sink | None = None, compact: bool = False, documents: bool = False) -> Sink:
     """Writes each batch of message lines (column value) to a store; what became of each message goes to `acks`.
 
-    Messages that are refused do not stop the others.
+    Messages that are refused do not stop the others. With `documents` a line is the record itself, at its present.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        done = store.append_messages(batch.select("value"), compact=compact)
+        lines = batch.select("value")
+        done = store.append_lines(lines) if documents else store.append_messages(lines, compact=compact)
         if acks:
             acks(done, number)
 
