@@ -148,7 +148,7 @@ def test_links_are_exactly_those_of_the_similarity(spark, monkeypatch):
     want = brute_components(range(len(texts)), lambda a, b: exact(texts[a], texts[b]) >= 0.8)
     assert 20 < len(set(want.values())) < 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block, small in ((at.BLOCK, at.SMALL), (4, 1000), (4, 2)):
+    for block, small in ((4, 1000), (4, 2)):
         monkeypatch.setattr(at, "BLOCK", block)
         monkeypatch.setattr(at, "SMALL", small)
         assert sorted(r.doc_id for r in at.keep_first_alike(docs).collect()) == sorted(set(want.values()))

@@ -112,6 +112,19 @@ def test_equality_does_not_rest_on_the_names(spark, monkeypatch):
     assert len(found) == len({v for v, _ in found}) == len({t for _, t in found}) > 100
 
 
+def test_repeated_lines_give_few_rows(spark):
+    """A line repeated in many texts: rows by texts, not by places."""
+    rng = random.Random(5)
+    line = " ".join(f"v{rng.randrange(50)}" for _ in range(12))
+    rows = [(i, " ".join([f"own{i}"] + [line] * 200 + [f"tail{i}"] + [line] * (i % 3))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.dedup_report(docs, 50).collect())
+    assert got == brute(rows, 50)
+    for _, ids, bounds in sd.sliced(pa.array([rows[0][1]], pa.large_string()), 50):
+        r = sd.merge_lone(sd.window_rows(ids, bounds, 50, 3), 50)
+        assert len(r["p0"]) > 100 and len(sd.alike_rows(r, np.arange(len(r["p0"])))[1]) < 20
+
+
 def test_clashing_columns_and_types(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     names = ["__starts", "starts", "ends", "of_doc", "of_row", "__doc_id", "__row_key", "spans", "a.b"]

@@ -13,6 +13,8 @@ rows of equal `whole` form a class: its rows beyond the least doc_id repeat enti
 several classes are the windows of each class's first row compared one by one. Windows without an interior
 symbol (inside long runs) stand for themselves.
 
+Rows that are alike in one text, as a repeated line gives them, travel as one with all their places.
+
 Words have two independent 64-bit hashes. Names, spans and cores come from the first and only bring rows
 together; whether rows or windows are equal is decided by hashes over the second. So two words that share a
 name, or two cores that collide, cannot make different passages pass for equal.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_whole_rows, materialize, release, small_batches, spread, unused
+from tidemark.llm.common import map_whole_rows, materialize, release, settled, small_batches, spread, unused
 
 #: Fixed odd multipliers of the hashes.
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -174,6 +176,17 @@ def merge_lone(r: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in r.items() if k not in ("p1", "spans")} | {"p1": last, "spans": r["spans"]}
 
 
+def alike_rows(r: dict[str, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows in the order of text, core, whole and place, and the bounds of those that share the first three.
+
+    A line that a text repeats gives the same row again and again; such rows travel as one.
+    """
+    order = some[np.lexsort(tuple(r[c][some] for c in ("p0", "whole", "core", "text")))]
+    text, core, whole = (r[c][order] for c in ("text", "core", "whole"))
+    new = (text[1:] != text[:-1]) | (core[1:] != core[:-1]) | (whole[1:] != whole[:-1])
+    return order, np.r_[np.flatnonzero(np.r_[True, new]), len(order)] if len(order) else np.zeros(1, np.int64)
+
+
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of all words (rows), and each text's bounds among the words (columns)."""
     lists = pc.ascii_split_whitespace(texts)
@@ -250,7 +263,9 @@ def repeated_spans(docs: DataFrame, width: int, rounds: int) -> DataFrame:
             doc_id = batch.column("doc_id").to_numpy()
             for which, ids, bounds in sliced(batch.column("text").cast(pa.large_string()), width):
                 r = merge_lone(window_rows(ids, bounds, width, rounds), width)
-                columns = [r["core"].view(np.int64), r["whole"].view(np.int64), doc_id[which[r["text"]]]]
+                order, edges = alike_rows(r, np.arange(len(r["p0"])))
+                one = order[edges[:-1]]
+                columns = [r["core"][one].view(np.int64), r["whole"][one].view(np.int64), doc_id[which[r["text"][one]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "whole", "doc_id"])
 
     known = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
@@ -274,31 +289,46 @@ def repeated_spans(docs: DataFrame, width: int, rounds: int) -> DataFrame:
             doc_id, row_key = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
             for which, ids, bounds in sliced(batch.column("text").cast(pa.large_string()), width):
                 r = merge_lone(window_rows(ids, bounds, width, rounds), width)
-                hit = np.flatnonzero(inside(shared_bits, r["core"]))
-                core, text, p0, p1 = (r[c][hit] for c in ("core", "text", "p0", "p1"))
-                counts = np.where(inside(contested_bits, core) & ~r["lone"][hit], p1 - p0 + 1, 0)
-                ends = np.cumsum(counts)
-                at = np.repeat(p0 - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-                windows = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(r["spans"].hash(at, at + width).view(np.int64)))
-                base = bounds[text]
-                columns = [core.view(np.int64), r["whole"][hit].view(np.int64), doc_id[which[text]], row_key[which[text]], p0 - base, p1 - base]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), windows], ["core", "whole", "doc_id", "row_key", "p0", "p1", "windows"])
-
-    schema = "core long, whole long, doc_id long, row_key long, p0 long, p1 long, windows array<long>"
+                order, edges = alike_rows(r, np.flatnonzero(inside(shared_bits, r["core"])))
+                core, whole, text, lone = (r[c][order[edges[:-1]]] for c in ("core", "whole", "text", "lone"))
+                contested = inside(contested_bits, core) & ~lone
+                base = bounds[r["text"][order]]
+                places = r["p0"][order] - base
+                # all places of a row as spans; those that touch are one
+                group = np.repeat(np.arange(len(core)), np.diff(edges))
+                ends = r["p1"][order] - base + width
+                begins = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (places[1:] > ends[:-1])]) if len(order) else np.zeros(0, np.int64)
+                lists = np.searchsorted(begins, edges).astype(np.int32)
+                starts = pa.ListArray.from_arrays(pa.array(lists), pa.array(places[begins]))
+                last = np.maximum.reduceat(ends, begins) if len(begins) else ends
+                stops = pa.ListArray.from_arrays(pa.array(lists), pa.array(last))
+                # where classes contest a core, the hashes of the windows of one place, and all places
+                one = order[edges[:-1]]
+                counts = np.where(contested, r["p1"][one] - r["p0"][one] + 1, 0)
+                upto = np.cumsum(counts)
+                at = np.repeat(r["p0"][one] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)
+                windows = pa.ListArray.from_arrays(pa.array(np.r_[0, upto].astype(np.int32)), pa.array(r["spans"].hash(at, at + width).view(np.int64)))
+                held = np.repeat(contested, np.diff(edges))
+                kept = pa.array(np.r_[0, np.cumsum(np.where(contested, np.diff(edges), 0))].astype(np.int32))
+                columns = [core.view(np.int64), whole.view(np.int64), doc_id[which[text]], row_key[which[text]]]
+                arrays = [*map(pa.array, columns), starts, stops, pa.ListArray.from_arrays(kept, pa.array(places[held])), windows]
+                yield pa.RecordBatch.from_arrays(arrays, ["core", "whole", "doc_id", "row_key", "starts", "ends", "places", "windows"])
+
+    schema = "core long, whole long, doc_id long, row_key long, starts array<long>, ends array<long>, places array<long>, windows array<long>"
     keyed = known.withColumn("row_key", F.xxhash64("text")).select("doc_id", "text", "row_key")
     found = materialize(keyed.mapInArrow(rows, schema), "shared-rows")
     release(shared)
     firsts = found.groupBy("core", "whole").agg(F.min("doc_id").alias("least"))
     classed = found.join(firsts, ["core", "whole"])
-    whole = classed.where("least < doc_id").select("doc_id", "row_key", F.col("p0").alias("start"), (F.col("p1") + width).alias("end"))
-    single = classed.where("least = doc_id and size(windows) > 0").select(
-        "core", "doc_id", "row_key", "p0", F.posexplode("windows").alias("k", "window")
-    )
-    single = materialize(single.select("core", "window", "doc_id", "row_key", (F.col("p0") + F.col("k")).alias("start")), "single-windows")
+    span = lambda lo, hi: F.struct(lo.alias("start"), hi.alias("end"))
+    whole = classed.where("least < doc_id").select("doc_id", "row_key", F.zip_with("starts", "ends", span).alias("spans"))
+    single = classed.where("least = doc_id and size(windows) > 0").select("core", "doc_id", "row_key", "places", F.posexplode("windows").alias("k", "window"))
+    at = F.transform("places", lambda p: p + F.col("k")).alias("places")
+    single = materialize(single.select("core", "window", "doc_id", "row_key", at), "single-windows")
     least = single.groupBy("core", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     late = single.join(least.select("core", "window", "least"), ["core", "window"]).where("least < doc_id")
-    late = late.select("doc_id", "row_key", "start", (F.col("start") + width).alias("end"))
-    spans = whole.union(late).groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    late = late.select("doc_id", "row_key", F.transform("places", lambda p: span(p, p + width)).alias("spans"))
+    spans = whole.union(late).groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return spans.select("doc_id", "row_key", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
@@ -315,7 +345,7 @@ def _joined(docs: DataFrame, width: int, rounds: int, *more: str) -> tuple[DataF
     """doc_id as long, text and `more` with the starts and ends of the repeated spans, and the names of these two columns."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
-    spans = repeated_spans(own.select("doc_id", "text"), width, rounds)
+    spans = settled("repeated-spans", lambda: repeated_spans(own.select("doc_id", "text"), width, rounds))
     doc_id, row_key, starts, ends = unused(own.columns, "of_doc", "of_row", "starts", "ends")
     spans = spans.toDF(doc_id, row_key, starts, ends)
     found = own.join(spans, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(row_key)), "left")
