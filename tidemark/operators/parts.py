@@ -15,14 +15,15 @@ MOST_PARTS, PART_ROWS = 1024, 1_000_000
 
 
 def key_cuts(df: DataFrame, key: str = "ts_ns", rows: int = PART_ROWS) -> list[int]:
-    """Ascending keys at which parts begin, from one pass over the key column; no cuts if one part is enough.
+    """Ascending keys at which parts begin; no cuts if one part is enough, which a count of the keys tells.
 
     They are approximate quantiles, so a dense hour is cut as finely as a thin month. A key lies in one part only.
     """
-    steps = [k / MOST_PARTS for k in range(1, MOST_PARTS)]
-    found = df.agg(F.count(key).alias("n"), F.percentile_approx(key, steps, 8 * MOST_PARTS).alias("q")).first()
-    parts = min(MOST_PARTS, -(-found.n // rows))
-    return sorted({found.q[k * MOST_PARTS // parts - 1] for k in range(1, parts)}) if parts > 1 else []
+    parts = min(MOST_PARTS, -(-df.agg(F.count(key)).first()[0] // rows))
+    if parts <= 1:
+        return []
+    quantiles = F.percentile_approx(key, [k / parts for k in range(1, parts)], 8 * parts)
+    return sorted(set(df.agg(quantiles.alias("q")).first()["q"]))
 
 
 def part_of(key: Column, cuts: list[int]) -> Column:
