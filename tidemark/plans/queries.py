@@ -56,8 +56,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Sums of doubles depend on their order in the last digits."""
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    """Sums of doubles depend on their order in the last digits. Rounding is SQL's, of the millionfold in doubles:
+    of values beyond 1e7 or so the sixth digit comes out otherwise by decimals."""
+    near = lambda x: F.round(x * 1e6) / 1e6
+    return df.withColumns({n: F.when(F.abs(n) < 1e300, near(F.col(n))).otherwise(F.col(n)) for n in names})
 
 
 def windowed(columns: str, width: int, where: str = "true", table: str = "events", ts: str = "ts", tail: str = "") -> str:
@@ -568,7 +570,7 @@ def journal_transform(spark, sf_dir):
 from (select *, user_id * 1000 as counter from events)""")
 def counter_rates(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "ts_ns", (F.col("user_id") * 1000).alias("counter"))
-    return rounded(rates(rows, ["counter"]), "counter_per_sec")
+    return rounded(rates(rows, ["counter"], ties=["event_id"]), "counter_per_sec")
 
 
 @query(f"""

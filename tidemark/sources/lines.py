@@ -55,29 +55,39 @@ def journal_records(df: DataFrame) -> DataFrame:
     return out.withColumn("time", rfc3339("ts_ns"))
 
 
-def with_previous(df: DataFrame, columns: list[str], name: str, part_rows: int = PART_ROWS) -> DataFrame:
+def with_previous(df: DataFrame, columns: list[str], name: str, part_rows: int = PART_ROWS, ties: Sequence[str] = ()) -> DataFrame:
     """Adds the record before, by ts_ns, as a struct of ts_ns and these columns; null for the first.
 
-    The record before the first of a part is carried over from the last of the part before, so no task sees all rows.
+    Records of one key are ordered by the columns `ties`. The record before the first of a part is carried over from
+    the last of the part before, so no task sees all rows.
     """
     cuts = key_cuts(df, "ts_ns", part_rows)
     part, own, before, last = unused([*df.columns, name], "part", "own", "before", "last_row")
-    record = F.struct("ts_ns", *columns)
+    record, order = F.struct("ts_ns", *columns), ["ts_ns", *ties]
     cut = df.withColumn(part, part_of(F.col("ts_ns"), cuts))
-    found = cut.withColumn(own, F.lag(record).over(Window.partitionBy(part).orderBy("ts_ns")))
+    found = cut.withColumn(own, F.lag(record).over(Window.partitionBy(part).orderBy(*order)))
     if not cuts:
         return found.drop(part).withColumnRenamed(own, name)
-    lasts = cut.groupBy(part).agg(F.max_by(record, "ts_ns").alias(last))
+    lasts = cut.groupBy(part).agg(F.max_by(record, F.struct(*order)).alias(last))
     found = found.join(F.broadcast(lasts.select(part, F.lag(last).over(Window.orderBy(part)).alias(before))), part)
     return found.withColumn(name, F.coalesce(own, before)).drop(part, own, before)
 
 
-def rates(df: DataFrame, counters: list[str], part_rows: int = PART_ROWS) -> DataFrame:
-    """Per-second rates of rising counters against the record before; the first record, and falls, have 0."""
+def rates(df: DataFrame, counters: list[str], part_rows: int = PART_ROWS, ties: Sequence[str] = ()) -> DataFrame:
+    """Per-second rates of rising counters against the record before; the first record, and falls, have 0.
+
+    Between two records of one key, ordered by the columns `ties`, the rate is that of floating-point division by
+    zero: infinite for a rise, not a number for none.
+    """
     (previous,) = unused(df.columns, "previous")
     seconds = (F.col("ts_ns") - F.col(f"{previous}.ts_ns")) / 1e9
-    rate = {f"{c}_per_sec": F.coalesce(F.greatest((F.col(c) - F.col(f"{previous}.{c}")) / seconds, F.lit(0.0)), F.lit(0.0)) for c in counters}
-    return with_previous(df, counters, previous, part_rows).withColumns(rate).drop(previous)
+
+    def rate(counter: str) -> Column:
+        rise = F.col(counter) - F.col(f"{previous}.{counter}")
+        at_once = F.when(rise > 0, F.lit(float("inf"))).when(rise == 0, F.lit(float("nan")))
+        return F.coalesce(F.greatest(F.when(seconds == 0, at_once).otherwise(F.try_divide(rise, seconds)), F.lit(0.0)), F.lit(0.0))
+
+    return with_previous(df, counters, previous, part_rows, ties).withColumns({f"{c}_per_sec": rate(c) for c in counters}).drop(previous)
 
 
 def system_stats(samples: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
@@ -85,10 +95,10 @@ def system_stats(samples: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
     samples has ts_ns and, as longs, cpu_total, cpu_idle, memory_total, memory_available, disk_read, disk_write,
     network_rx, network_tx, space_total and space_available. Rates are whole bytes a second, percentages whole and
-    rounded down; of nothing they are 0.
+    rounded down; of nothing they are 0. Samples of one key are ordered by cpu_total.
     """
     counters = ["cpu_total", "cpu_idle", "disk_read", "disk_write", "network_rx", "network_tx"]
-    found = with_previous(samples, counters, "previous", part_rows).where("previous is not null")
+    found = with_previous(samples, counters, "previous", part_rows, ["cpu_total"]).where("previous is not null")
     delta = lambda c: f"({c} - previous.{c})"
     per_second = lambda c: f"{delta(c)} div greatest(1, (ts_ns - previous.ts_ns) div 1000000000)"
     percent = lambda part, whole: f"case when {whole} > 0 then int({part} * 100 div {whole}) else 0 end"
