@@ -45,3 +45,8 @@ def test_rates_between_records_of_one_time(spark, tmp_path):
 def test_large_rates_round_as_in_sql(spark, tmp_path):
     folder = table(tmp_path, "events", EVENTS, events([k * (k + 1) for k in range(300)], [k * k * 37 % 4001 for k in range(300)]))
     equals_sql(spark, folder, "events", "counter_rates")
+
+
+def test_tombstones_spare_other_records_of_their_time(spark, tmp_path):
+    folder = table(tmp_path, "events", EVENTS, events([0, 1, 2, 3, 4, 4, 4, 5]))
+    assert len(equals_sql(spark, folder, "events", "delete_tombstone")) == 7

@@ -453,8 +453,9 @@ def ordering_guard(spark, sf_dir):
 
 @query(f"select {ROW} from events where event_id % 10 <> 4")
 def delete_tombstone(spark, sf_dir):
+    """Tombstones name one record each; another one of the same time stays."""
     df = events(spark, sf_dir)
-    return row(df.join(df.where("event_id % 10 = 4").select("ts_ns"), "ts_ns", "left_anti"))
+    return row(df.join(df.where("event_id % 10 = 4").select("ts_ns", "event_id"), ["ts_ns", "event_id"], "left_anti"))
 
 
 @query("""select 'events' as store, count(*) as records, sum(octet_length(encode(props)))::bigint as bytes, min(epoch_ns(ts)) as oldest_ns, max(epoch_ns(ts)) as newest_ns,
