@@ -5,7 +5,9 @@ from datetime import datetime, timedelta
 import duckdb
 import pandas as pd
 
+from tidemark.operators.scans import json_only
 from tidemark.plans.queries import ORACLES, QUERIES
+from tidemark.sources.lines import envelopes
 
 START = datetime(2024, 1, 1)
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar"
@@ -50,3 +52,23 @@ def test_large_rates_round_as_in_sql(spark, tmp_path):
 def test_tombstones_spare_other_records_of_their_time(spark, tmp_path):
     folder = table(tmp_path, "events", EVENTS, events([0, 1, 2, 3, 4, 4, 4, 5]))
     assert len(equals_sql(spark, folder, "events", "delete_tombstone")) == 7
+
+
+DOCUMENTS = "doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint"
+
+
+def test_json_with_a_rest_behind_it_is_not_valid(spark, tmp_path):
+    texts = ["8294 words", "8294", '{"a":1} x', '{"a":1,"a":[2]} ', "[1] [2]", "1]", "1,2", '"x"', "", None, "12 13", " true", '{"a":', "1" * 1500]
+    folder = table(tmp_path, "documents", DOCUMENTS, [(3 * i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = equals_sql(spark, folder, "documents", "scan_json_valid_all")
+    assert sorted(got["doc_id"] // 3) == [i for i, t in enumerate(texts) if t in ("8294", '{"a":1,"a":[2]} ', '"x"', " true", "1" * 1500)]
+
+
+def test_a_text_cannot_close_the_check_around_it(spark):
+    rows = [(t,) for t in ('1,"2"]', '1] , [2', "],[", "1,", '"a', "'a'", "NaN", "[1,]", "01", '{"a" 1}', "1 // c")]
+    assert json_only(spark.createDataFrame(rows, "payload string")).count() == 0
+
+
+def test_envelopes_with_a_rest_behind_them_are_refused(spark):
+    lines = spark.createDataFrame([('{"timestamp":5,"data":{"v":1}} x',), ('{"timestamp":6,"data":{"v":1}}',)], "value string")
+    assert [(r.ts_ns, r.error) for r in envelopes(lines, 1).orderBy("ts_ns").collect()][1:] == [(6, None)] and envelopes(lines, 1).where("error = 'invalid JSON'").count() == 1

@@ -67,6 +67,19 @@ def python_text(value: object) -> str:
     return f"{minus}{whole}.{rest}" if rest else f"{minus}{whole}"
 
 
+def json_valid(text: Column) -> Column:
+    """Whether the whole text is one JSON document; false for null.
+
+    Spark's parsers stop after the first value and pass over what follows. So the text is read as an array's first
+    element before a mark: only where it is one value and nothing else, the mark comes second. The mark is the text's
+    digest, which a text cannot hold. Keys that repeat and long numbers are valid; NaN is not.
+    """
+    mark = F.md5(text)
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxNumLen": str(2**31 - 1), "maxStringLen": str(2**31 - 1)}
+    read = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", strict)
+    return F.coalesce((F.size(read) == 2) & (F.get(read, 1) == mark), F.lit(False))
+
+
 class Value:
     """A field of a record: whether it is present and a number, its number, and its text.
 

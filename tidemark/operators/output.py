@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import json_valid
 from tidemark.operators.schema import SchemaRegistry
 
 
@@ -37,7 +38,7 @@ def record_envelope(ts_ns: Column, record: Column, kind: str | None = "data") ->
     """The same around a record that is JSON, which stands in it as it is; what is no JSON stands in it as a string."""
     quoted = F.to_json(F.array(record))
     quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    value = F.when(F.try_parse_json(record).isNotNull(), record).otherwise(quoted)
+    value = F.when(json_valid(record), record).otherwise(quoted)
     head = F.lit(f'{{"type":"{kind}","timestamp":' if kind else '{"timestamp":')
     return F.concat(head, ts_ns.cast("string"), F.lit(',"data":'), value, F.lit("}"))
 

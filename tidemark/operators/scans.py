@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.durations import parse_duration
 from tidemark.functions.timeconv import LAST_NS, between_ns
+from tidemark.functions.values import json_valid
 
 OLDEST_LIMIT = NEWEST_LIMIT = 10
 RANGE_LIMIT = 100
@@ -85,7 +86,7 @@ def text_match(payload: Column, needle: str, ignore_case: bool = False) -> Colum
 
 def json_only(df: DataFrame, column: str = "payload") -> DataFrame:
     """Rows with valid JSON; for lists it applies after the limit."""
-    return df.where(F.try_parse_json(F.col(column).cast("string")).isNotNull())
+    return df.where(json_valid(F.col(column).cast("string")))
 
 
 def json_objects(df: DataFrame, column: str = "payload") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.names import unused
 from tidemark.functions.timeconv import rfc3339
+from tidemark.functions.values import json_valid
 from tidemark.operators.parts import PART_ROWS, key_cuts, part_of
 
 
@@ -18,7 +19,7 @@ def envelopes(lines: DataFrame, now_ns: int, line: str = "value", keep: Sequence
 
     Works on batch frames and on text or socket streams alike; columns to `keep` come first.
     """
-    record = F.try_parse_json(F.col(line))
+    record = F.when(json_valid(F.col(line)), F.try_parse_json(F.col(line)))
     data = F.try_variant_get(record, "$.data", "variant")
     stamp = F.coalesce(F.try_variant_get(record, "$.timestamp", "long"), F.lit(0))
     error = F.when(record.isNull(), "invalid JSON").when(data.isNull(), "no data").when(stamp < 0, "invalid timestamp")
@@ -33,7 +34,7 @@ def line_documents(lines: DataFrame, now_ns: int, line: str = "value") -> DataFr
     """
     if lines.isStreaming:
         raise ValueError("the lines of a stream get their keys batch by batch")
-    valid = lines.where((F.col(line) != "QUIT") & F.try_parse_json(F.col(line)).isNotNull())
+    valid = lines.where((F.col(line) != "QUIT") & json_valid(F.col(line)))
     return valid.select((F.lit(now_ns) + F.monotonically_increasing_id()).alias("ts_ns"), F.col(line).alias("payload"))
 
 

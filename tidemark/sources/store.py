@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.names import unused
 from tidemark.functions.timeconv import rfc3339
+from tidemark.functions.values import json_valid
 from tidemark.operators import scans
 from tidemark.operators.aggregate import AggSpec, aggregate, aggregate_json
 from tidemark.operators.output import compact_aggregates
@@ -276,7 +277,8 @@ class Store:
             error = F.when(~self.registry.validate(payload), "a record has fields that the schema lacks")
             payload = self.registry.compact(payload)
         elif kind == "json":
-            error = F.when(F.try_parse_json(payload.cast("string")).isNull(), "a record is no JSON")
+            text = payload.cast("string")
+            error = F.when(~json_valid(text) | F.try_parse_json(text).isNull(), "a record is no JSON")
         error = F.when(F.col("ts_ns").isNull() | (F.col("ts_ns") <= 0), "a key must be positive").otherwise(error)
         return rows.select(F.col("ts_ns").cast("long").alias("ts_ns"), payload.cast(self.payload_type).alias("payload"), error.alias("error"))
 
@@ -345,7 +347,7 @@ class Store:
     def append_lines(self, lines: DataFrame, now_ns: int | None = None) -> DataFrame:
         """Write one JSON document a line (column value), as a local socket sends them, each at its own present; QUIT lines
         are no documents. Returns what append_messages() does; streams call it batch by batch."""
-        wrapped = F.when(F.try_parse_json("value").isNotNull(), F.concat(F.lit('{"data":'), F.col("value"), F.lit("}"))).otherwise(F.lit("no JSON"))
+        wrapped = F.when(json_valid(F.col("value")), F.concat(F.lit('{"data":'), F.col("value"), F.lit("}"))).otherwise(F.lit("no JSON"))
         return self.append_messages(lines.where("trim(value) <> 'QUIT'").select(wrapped.alias("value")), now_ns)
 
     def _staged(self, df: DataFrame) -> DataFrame:
