@@ -72,3 +72,12 @@ def test_a_text_cannot_close_the_check_around_it(spark):
 def test_envelopes_with_a_rest_behind_them_are_refused(spark):
     lines = spark.createDataFrame([('{"timestamp":5,"data":{"v":1}} x',), ('{"timestamp":6,"data":{"v":1}}',)], "value string")
     assert [(r.ts_ns, r.error) for r in envelopes(lines, 1).orderBy("ts_ns").collect()][1:] == [(6, None)] and envelopes(lines, 1).where("error = 'invalid JSON'").count() == 1
+
+
+def test_no_message_falls_out_of_the_store(spark, tmp_path):
+    """More records than a ring of the default 1024 blocks of 4096 bytes holds."""
+    con, n = duckdb.connect(), 200_000
+    con.sql(f"create table events ({EVENTS})")
+    con.sql(f"insert into events select i, timestamp '2024-01-01' + to_milliseconds(i), 1, 'click', 1.5, '{{}}' from range({n}) r(i)")
+    con.sql(f"copy events to '{tmp_path}/events.parquet'")
+    assert equals_sql(spark, str(tmp_path), "events", "store_messages")["stored"].count() > 1024 * 131

@@ -665,6 +665,10 @@ STORE_SQL = f"""with recursive {PACKED_SQL}, e as (select max(block_seq + span_c
 held as (select ts_ns, size, (block_seq % {{n}})::bigint as block_num, block_seq::bigint as block_seq, "offset", span_count::bigint as span_count from packed, e where block_seq >= e - {{n}})"""
 
 
+#: Blocks of a ring that keeps all records of any table; it takes no space before records come.
+ROOM = 1 << 40
+
+
 def document_store(spark: SparkSession, sf_dir: str, blocks: int) -> Store:
     """A text store of all documents, keyed by doc_id + 1; of so many blocks, it holds the newest."""
     store = Engine(spark, scratch_folder(spark, "store")).create(Config("documents", blocks, kind="text"))
@@ -727,7 +731,7 @@ def store_delete_by_handle(spark, sf_dir):
 @query("select doc_id + 1 as ts_ns, case when doc_id = 7 then 'again' else text end as payload from documents")
 def store_reinsert(spark, sf_dir):
     """A key that was deleted comes again, after a compaction too."""
-    store = document_store(spark, sf_dir, 1 << 20)
+    store = document_store(spark, sf_dir, ROOM)
     store.delete(8)
     store.compact()
     store.insert("once more", 8)
@@ -744,6 +748,6 @@ def store_messages(spark, sf_dir):
     """Envelope lines taken or refused one by one: broken ones, and those that go back in time."""
     at = F.when(F.col("event_id") % 9 == 4, F.lit(1)).otherwise(F.col("ts_ns"))
     line = F.when(F.col("event_id") % 11 == 3, F.lit("broken")).otherwise(F.format_string('{"timestamp":%d,"data":{"v":1}}', at))
-    store = Engine(spark, scratch_folder(spark, "store")).create(Config("messages"))
+    store = Engine(spark, scratch_folder(spark, "store")).create(Config("messages", ROOM))
     done = store.append_messages(events(spark, sf_dir).select(F.col("event_id").alias("n"), line.alias("value")), arrival="n")
     return done.join(store.records().select(F.col("ts_ns").alias("stored")), (F.col("ts_ns") == F.col("stored")) & F.col("error").isNull(), "left").select("arrival", "stored")
