@@ -3,8 +3,11 @@
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tidemark.operators import parts, retention
 from tidemark.operators.scans import json_only
 from tidemark.plans.queries import ORACLES, QUERIES
 from tidemark.sources.lines import envelopes
@@ -81,3 +84,16 @@ def test_no_message_falls_out_of_the_store(spark, tmp_path):
     con.sql(f"insert into events select i, timestamp '2024-01-01' + to_milliseconds(i), 1, 'click', 1.5, '{{}}' from range({n}) r(i)")
     con.sql(f"copy events to '{tmp_path}/events.parquet'")
     assert equals_sql(spark, str(tmp_path), "events", "store_messages")["stored"].count() > 1024 * 131
+
+
+def test_parts_of_payloads_are_cut_by_bytes(spark, monkeypatch):
+    """Long payloads in the second half of the keys: tasks carry some 20,000 bytes each and pack as one task does."""
+    rows = [(k, "x" * (10 if k <= 1000 else 400 + k % 7), 10 if k <= 1000 else 400 + k % 7) for k in range(1, 2001)]
+    df = spark.createDataFrame(rows, "ts_ns long, payload string, size long").repartition(3)
+    monkeypatch.setattr(parts, "MOST_PARTS", 64)
+    done = retention.packed(df, 512, part_bytes=20_000).withColumn("task", F.spark_partition_id())
+    largest = done.groupBy("task").agg(F.sum("size").alias("bytes")).agg(F.count("*"), F.max("bytes")).first()
+    assert largest[0] > 15 and largest[1] < 30_000
+    places = [(r.block_seq, r.offset) for r in done.orderBy("ts_ns").collect()]
+    blocks, offsets, *_ = retention.next_fit(np.array([r[2] for r in rows]) + retention.RECORD_HEADER, 512 - retention.BLOCK_HEADER, -1, 512 - retention.BLOCK_HEADER)
+    assert places == list(zip(blocks.tolist(), offsets.tolist(), strict=True))

@@ -10,8 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many parts, of so many rows each as long as there are fewer parts than that.
-MOST_PARTS, PART_ROWS = 1024, 1_000_000
+from tidemark.functions.names import unused
+
+#: At most so many parts, of so many rows each, and of so many bytes where rows carry payloads, as long as there are
+#: fewer parts than that.
+MOST_PARTS, PART_ROWS, PART_BYTES = 1024, 1_000_000, 64 << 20
+#: Parts by bytes are put together from so many times as many ranges of equal numbers of rows.
+FINER = 8
 
 
 def key_cuts(df: DataFrame, key: str = "ts_ns", rows: int = PART_ROWS) -> list[int]:
@@ -26,6 +31,31 @@ def key_cuts(df: DataFrame, key: str = "ts_ns", rows: int = PART_ROWS) -> list[i
     return sorted(set(df.agg(quantiles.alias("q")).first()["q"]))
 
 
+def weighted_cuts(df: DataFrame, key: str, weight: str, rows: int = PART_ROWS, most: int = PART_BYTES) -> list[int]:
+    """The same for rows that carry `weight` bytes each: parts have at most about `rows` rows and `most` bytes.
+
+    Where long payloads stand together the parts are shorter: ranges much finer than a part are weighed, and as many
+    neighbours as fit make a part.
+    """
+    n, total = df.agg(F.count(key), F.sum(weight)).first()
+    parts = min(MOST_PARTS, max(-(-n // rows), -(-int(total or 0) // most)))
+    if parts <= 1:
+        return []
+    fine = FINER * parts
+    quantiles = F.percentile_approx(key, [k / fine for k in range(1, fine)], 4 * fine)
+    cuts = sorted(set(df.agg(quantiles.alias("q")).first()["q"]))
+    at, count, size = unused(df.columns, "at", "n", "bytes")
+    weighed = df.groupBy(part_of(F.col(key), cuts).alias(at)).agg(F.count(key).alias(count), F.sum(weight).alias(size)).collect()
+    found, full_rows, full = [], max(rows, n / MOST_PARTS), max(most, (total or 0) / MOST_PARTS)
+    n, total = 0, 0
+    for r in sorted(weighed):
+        if r[at] and n and (n + r[count] > full_rows or total + (r[size] or 0) > full):
+            found.append(cuts[r[at] - 1])
+            n, total = 0, 0
+        n, total = n + r[count], total + (r[size] or 0)
+    return found
+
+
 def part_of(key: Column, cuts: list[int]) -> Column:
     """How many cuts are at or below the key: a binary search in a constant array."""
     if not cuts:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.names import unused
-from tidemark.operators.parts import PART_ROWS, by_key, key_cuts, part_of
+from tidemark.operators.parts import PART_ROWS, by_key, key_cuts, part_of, weighted_cuts
 
 #: Bytes of a block header, of a record header, of an index entry and of the store's metadata.
 BLOCK_HEADER, RECORD_HEADER, INDEX_ENTRY, META = 24, 24, 16, 64
@@ -93,7 +93,12 @@ def packing_map(need: np.ndarray, room: int) -> tuple[list[int], list[int], list
     return ends, [known[k][0] for k in firsts], [known[k][1] for k in firsts]
 
 
-def packing_states(keyed: DataFrame, store: str, part: str, order: str, size: str, room: int, first: tuple[int, int]) -> DataFrame:
+def dealt(keyed: DataFrame, parts: int, store: str, part: str, order: str) -> DataFrame:
+    """A task for each part, in order; by the part itself, since hashes of parts would put several into one task."""
+    return keyed.repartitionById(parts, part).sortWithinPartitions(store, part, order)
+
+
+def packing_states(keyed: DataFrame, parts: int, store: str, part: str, order: str, size: str, room: int, first: tuple[int, int]) -> DataFrame:
     """(store, part, block, used, end): the state of a store before each of its parts, and its last block plus one.
 
     Parts are summed up apart from each other, from sizes alone; only the sums of a store meet, in order.
@@ -119,8 +124,7 @@ def packing_states(keyed: DataFrame, store: str, part: str, order: str, size: st
 
     types = [pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64()]
     names = [store, part, "ends", "blocks", "used", "total"]
-    sums = keyed.select(store, part, order, size).repartition(store, part).sortWithinPartitions(store, part, order)
-    sums = sums.mapInArrow(summed, f"{store} string, {part} int, ends array<long>, blocks array<long>, used array<long>, total long")
+    sums = dealt(keyed.select(store, part, order, size), parts, store, part, order).mapInArrow(summed, f"{store} string, {part} int, ends array<long>, blocks array<long>, used array<long>, total long")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -151,7 +155,7 @@ def packing_states(keyed: DataFrame, store: str, part: str, order: str, size: st
 
 def packed(
     df: DataFrame, block_size: int, size: str = "size", order: str = "ts_ns", store: str | None = None, newest: int = 0,
-    last: tuple[int, int] | None = None, part_rows: int = PART_ROWS,
+    last: tuple[int, int] | None = None, part_rows: int = PART_ROWS, part_bytes: int = 0,
 ) -> DataFrame:
     """Adds block_seq, offset and span_count by next-fit packing in time order; columns of these names are replaced.
 
@@ -161,25 +165,26 @@ def packed(
     then all parts are packed side by side, each as a stream with two numbers of state.
 
     `newest` keeps the records of the newest so many blocks only; parts that lie before them are not packed.
-    `last` is the block and the bytes used in it where packing goes on, by default a new store.
+    `last` is the block and the bytes used in it where packing goes on, by default a new store. Where rows carry their
+    payloads, `part_bytes` bounds the bytes of a part.
     """
     if not valid_block_size(block_size):
         raise ValueError("a block size is a power of two, 64 at least")
     room = block_size - BLOCK_HEADER
     df = df.drop("block_seq", "offset", "span_count")
-    cuts = key_cuts(df, order, part_rows)
+    cuts = weighted_cuts(df, order, size, part_rows, part_bytes) if part_bytes else key_cuts(df, order, part_rows)
     name, part, need, block, used, end = unused(df.columns, "store_name", "part", "need", "last_block", "used_bytes", "end_block")
     keyed = df.withColumns({name: F.coalesce(F.col(store).cast("string"), F.lit("")) if store else F.lit(""), part: part_of(F.col(order), cuts).cast("int"), need: F.col(size).cast("long")})
     first = last or (-1, room)
     if newest or cuts:
-        states = packing_states(keyed, name, part, order, need, room, first).toDF(name, part, block, used, end)
+        states = packing_states(keyed, len(cuts) + 1, name, part, order, need, room, first).toDF(name, part, block, used, end)
         if newest:  # a part ends where the next one of its store begins
             after = F.lead(block).over(Window.partitionBy(name).orderBy(part))
             states = states.withColumn("after", F.coalesce(after, F.col(end))).where(F.col("after") >= F.col(end) - newest).drop("after")
-        keyed = keyed.join(states, [name, part])
+        keyed = keyed.join(states if store else F.broadcast(states), [name, part])
     else:
         keyed = keyed.withColumns({block: F.lit(first[0]).cast("long"), used: F.lit(first[1]).cast("long"), end: F.lit(0).cast("long")})
-    spread = keyed.repartition(name, part).sortWithinPartitions(name, part, order)
+    spread = dealt(keyed, len(cuts) + 1, name, part, order)
     added = ("block_seq", "offset", "span_count")
     out = T.StructType([*spread.schema.fields, *(T.StructField(n, T.LongType()) for n in added)])
 

@@ -24,6 +24,7 @@ from tidemark.functions.values import json_valid
 from tidemark.operators import scans
 from tidemark.operators.aggregate import AggSpec, aggregate, aggregate_json
 from tidemark.operators.output import compact_aggregates
+from tidemark.operators.parts import PART_BYTES
 from tidemark.operators.retention import BLOCK_HEADER, RECORD_HEADER, packed, valid_block_size
 from tidemark.operators.running import ordering_guard
 from tidemark.operators.schema import Field, SchemaRegistry
@@ -301,7 +302,7 @@ class Store:
             raise ValueError("keys must be larger than what is stored and before them")
         size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
         folder = self._write(packed(
-            staged.select("ts_ns", "payload", size.alias("size")), self.config.block_size, last=(state["block"], state["used"])).drop("size"), "data")
+            staged.select("ts_ns", "payload", size.alias("size")), self.config.block_size, last=(state["block"], state["used"]), part_bytes=PART_BYTES).drop("size"), "data")
         written = self._read([folder], self.schema)
         end = written.orderBy(F.desc("ts_ns")).limit(1).select("ts_ns", *PLACE, size.alias("size")).collect()
         if end:
