@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import number_text
 from tidemark.operators import parts, retention
 from tidemark.operators.scans import json_only
 from tidemark.plans.queries import ORACLES, QUERIES
@@ -97,3 +98,11 @@ def test_parts_of_payloads_are_cut_by_bytes(spark, monkeypatch):
     places = [(r.block_seq, r.offset) for r in done.orderBy("ts_ns").collect()]
     blocks, offsets, *_ = retention.next_fit(np.array([r[2] for r in rows]) + retention.RECORD_HEADER, 512 - retention.BLOCK_HEADER, -1, 512 - retention.BLOCK_HEADER)
     assert places == list(zip(blocks.tolist(), offsets.tolist(), strict=True))
+
+
+def test_text_of_a_number_is_made_once(spark):
+    """An expression that stands in several branches is computed in each."""
+    df = spark.createDataFrame([(0.1 + 0.2,), (-0.0,), (1e21,), (-1.5e-7,), (100.0,), (None,), (float("-inf"),)], "x double")
+    shown = df.select(number_text(F.col("x")).alias("shown"))
+    assert [r.shown for r in shown.collect()] == ["0.30000000000000004", "-0", "1e+21", "-1.5e-07", "100", None, "-Inf"]
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("format_string") <= 3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -17,31 +18,49 @@ def is_number_type(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def number_text(x: Column) -> Column:
     """A double in the shortest form that reads back as it: 80, 80.5, 0.0001, 1e+21, 1e-05, -0, NaN, +Inf.
 
     The digits are the fewest of 15, 16 or 17 that give the same double, without zeros at their end; then the point
-    is put where the exponent says. From 1e21 on and below 0.0001 the exponent is shown.
+    is put where the exponent says. From 1e21 on and below 0.0001 the exponent is shown. Each step is bound, since an
+    expression that stands in several branches is computed in each.
     """
-    tries = [F.format_string(f"%.{k}e", x) for k in (14, 15, 16)]
-    shown = F.when(tries[0].cast("double") == x, tries[0]).when(tries[1].cast("double") == x, tries[1]).otherwise(tries[2])
-    head, power = F.substring_index(shown, "e", 1), F.substring_index(shown, "e", -1).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(head, "[-.]", ""), "(?<=.)0+$", "")
-    n = F.length(digits)
-    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
-    text = (
-        F.when((power >= 21) | (power < -4), F.concat(
-            F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise(""),
-            F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))))
-        .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
-        .when(n > power + 1, F.concat(whole, F.lit("."), F.substring(digits, power + 2, F.lit(20))))
-        .otherwise(whole)
-    )
-    sign = F.when(F.startswith(shown, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    return (
-        F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf"))
-        .otherwise(F.concat(sign, text))
-    )
+
+    def placed(shown: Column) -> Column:
+        head, power = F.substring_index(shown, "e", 1), F.substring_index(shown, "e", -1).try_cast("int")
+        digits = F.rtrim(F.translate(head, "-.", ""), F.lit("0"))
+        parts = F.struct(F.when(digits == "", F.lit("0")).otherwise(digits).alias("digits"), power.alias("power"), F.startswith(shown, F.lit("-")).alias("minus"))
+        return bound(parts, lambda p: pointed(p["digits"], p["power"], p["minus"]))
+
+    def pointed(digits: Column, power: Column, minus: Column) -> Column:
+        n = F.length(digits)
+        whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+        text = (
+            F.when((power >= 21) | (power < -4), F.concat(
+                F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise(""),
+                F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))))
+            .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+            .when(n > power + 1, F.concat(whole, F.lit("."), F.substring(digits, power + 2, F.lit(20))))
+            .otherwise(whole)
+        )
+        return F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), text)
+
+    def tried(v: Column, digits: int, rest: Column) -> Column:
+        return bound(F.format_string(f"%.{digits - 1}e", v), lambda t: F.when(t.cast("double") == v, t).otherwise(rest))
+
+    def shown(v: Column) -> Column:
+        shortest = tried(v, 15, tried(v, 16, F.format_string("%.16e", v)))
+        return (
+            F.when(F.isnan(v), F.lit("NaN")).when(v == float("inf"), F.lit("+Inf")).when(v == float("-inf"), F.lit("-Inf"))
+            .when(v.isNotNull(), bound(shortest, placed))
+        )
+
+    return bound(x.cast("double"), shown)
 
 
 def python_text(value: object) -> str:
